@@ -52,13 +52,13 @@ class Bucketed:
         )
         if not self.hot:
             return self._with(df)
-        sums = self.df.where("_bucket > 0").groupBy(*self.keys, "_bucket").agg(F.sum(value).alias("_s"))
+        sums = self.df.where("_bucket > 0").groupBy(*self.keys, "_bucket").agg(F.sum(value).alias("_bucket_sum"))
         by_key = Window.partitionBy(*self.keys)
         before = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        summary = sums.withColumn("_before", F.sum("_s").over(before)).withColumn("_all", F.sum("_s").over(by_key))
-        df = self._join_summary(df, summary, ["_before", "_all"])
-        df = df.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).withColumn(total, F.coalesce("_all", total))
-        return self._with(df.drop("_before", "_all"))
+        summary = sums.withColumn("_sum_before", F.sum("_bucket_sum").over(before)).withColumn("_sum_all", F.sum("_bucket_sum").over(by_key))
+        df = self._join_summary(df, summary, ["_sum_before", "_sum_all"])
+        df = df.withColumn(out, F.col(out) + F.coalesce("_sum_before", F.lit(0))).withColumn(total, F.coalesce("_sum_all", total))
+        return self._with(df.drop("_sum_before", "_sum_all"))
 
     def neighbours(self, lag: dict[str, str], lead: dict[str, str]) -> Bucketed:
         """Add columns of the row before (``lag``: new name to column) and after (``lead``) within the key."""
@@ -71,19 +71,19 @@ class Bucketed:
         if not self.hot:
             return self._with(df)
         rows = self.df.where("_bucket > 0").groupBy(*self.keys, "_bucket").agg(
-            F.max_by(F.struct(F.lit(1).alias("_one"), *lag.values()), self.order).alias("_last"),
-            F.min_by(F.struct(F.lit(1).alias("_one"), *lead.values()), self.order).alias("_first"),
-            F.min(self.order).alias("_lo"),
-            F.max(self.order).alias("_hi"),
+            F.max_by(F.struct(F.lit(1).alias("_one"), *lag.values()), self.order).alias("_edge_last"),
+            F.min_by(F.struct(F.lit(1).alias("_one"), *lead.values()), self.order).alias("_edge_first"),
+            F.min(self.order).alias("_edge_lo"),
+            F.max(self.order).alias("_edge_hi"),
         )
         by_key = Window.partitionBy(*self.keys).orderBy("_bucket")
-        summary = rows.withColumn("_last", F.lag("_last").over(by_key)).withColumn("_first", F.lead("_first").over(by_key))
-        df = self._join_summary(df, summary, ["_last", "_first", "_lo", "_hi"])
+        summary = rows.withColumn("_edge_last", F.lag("_edge_last").over(by_key)).withColumn("_edge_first", F.lead("_edge_first").over(by_key))
+        df = self._join_summary(df, summary, ["_edge_last", "_edge_first", "_edge_lo", "_edge_hi"])
         for new, c in lag.items():
-            df = df.withColumn(new, F.when(F.col(self.order) == F.col("_lo"), F.col("_last")[c]).otherwise(F.col(new)))
+            df = df.withColumn(new, F.when(F.col(self.order) == F.col("_edge_lo"), F.col("_edge_last")[c]).otherwise(F.col(new)))
         for new, c in lead.items():
-            df = df.withColumn(new, F.when(F.col(self.order) == F.col("_hi"), F.col("_first")[c]).otherwise(F.col(new)))
-        return self._with(df.drop("_last", "_first", "_lo", "_hi"))
+            df = df.withColumn(new, F.when(F.col(self.order) == F.col("_edge_hi"), F.col("_edge_first")[c]).otherwise(F.col(new)))
+        return self._with(df.drop("_edge_last", "_edge_first", "_edge_lo", "_edge_hi"))
 
     def column(self, name: str, value: Column) -> Bucketed:
         return self._with(self.df.withColumn(name, value))
