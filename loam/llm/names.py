@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -95,22 +96,11 @@ def words_of(text: str) -> list[str]:
     """Words of a name: marks inside a word vanish, single letters in a row are one abbreviation."""
     text = _TAIL.sub("", HONORIFICS.sub("", plain(text).strip()))
     text = re.sub(r"(?<=\w)['’.](?=\w)", "", text)
-    words = re.findall(r"[^\W_]+", text)
+    words = re.findall(r"[^\W_]+", re.sub(r"\bint[ -]l\b", "intl", text))
     out: list[str] = []
-    run = False
-    for i, w in enumerate(words):
-        single = len(w) == 1 and w.isalpha()
-        if single and run:
-            out[-1] += w
-        elif single and i + 2 < len(words) and all(len(x) == 1 for x in words[i : i + 3]):
-            out.append(w)
-            run = True
-            continue
-        elif w == "l" and out and out[-1] == "int":
-            out[-1] = "intl"
-        else:
-            out.append(w)
-        run = run and single
+    for k, same in groupby(words, lambda w: len(w) == 1 and w.isalpha()):
+        part = list(same)
+        out += ["".join(part)] if k and len(part) > 2 else part
     return out
 
 
@@ -166,6 +156,7 @@ class Reader:
         if len(other) == 1:
             return [("P", core, other, True)]
         full = [other] if other in self.given and other not in _NICK else _NICK.get(other, [other])
+        full = [f for f in full if f in self.given] or full
         return [("P", core, f, len(full) > 1) for f in full]
 
     def read(self, text: str, kind: str | None) -> list[tuple[str, str, str, bool]]:
@@ -176,7 +167,8 @@ class Reader:
                 self.cache.clear()
             words = words_of(text)
             found: list[tuple[str, str, str, bool]] = []
-            if kind != "person":
+            titled = kind is None and len(words) > 2 and words[0] in TITLES
+            if kind != "person" and not titled:
                 found = self.organization(words, kind == "organization")
             if not found and kind != "organization":
                 found = self.person(words, kind == "person")
@@ -194,7 +186,7 @@ def _letters(text: Column) -> Column:
 
 
 def common_given(names: DataFrame) -> set[str]:
-    """Words that stand beside many different other words in two-word names.
+    """Words that stand beside many different other words in two-word names, and the full forms of nicknames.
 
     At most ``2 * SHARE_OF_GIVEN`` words can pass, because each needs that share of all names.
     """
@@ -202,7 +194,7 @@ def common_given(names: DataFrame) -> set[str]:
     least = max(8, two.count() // SHARE_OF_GIVEN)
     sides = F.array(F.struct(F.col("w")[0].alias("word"), F.col("w")[1].alias("beside")), F.struct(F.col("w")[1].alias("word"), F.col("w")[0].alias("beside")))
     rows = two.select(F.inline(sides)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word").collect()
-    return {r["word"] for r in rows if len(r["word"]) > 2}
+    return {r["word"] for r in rows if len(r["word"]) > 2} | {f for full in _NICK.values() for f in full}
 
 
 def node_names(nodes: DataFrame) -> DataFrame:
