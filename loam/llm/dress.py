@@ -1,9 +1,10 @@
 """Duplicates hidden by formatting differences (problem 3).
 
-Records are hashed through the skip-and-fold table.  Rows of one dress (identical strings) are combined first, so
-a hot group shrinks before the shuffle; every further dress of a hash group is then compared with the group's
-first record.  Dresses that collide without being equal fall back to their canonical string, so the result is
-exact whatever the hash does.
+Records are hashed through the skip-and-fold table and grouped by hash; counts and first records are combined before
+the shuffle, so a hot group is one row per task.  Groups in more than one dress are joined back (one row per group
+on one side, so adaptive execution can split a hot one) and each row is compared with the group's first record.
+Rows that collide without being equal fall back to their canonical string, so the result is exact whatever the hash
+does.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from loam.functions.fold import not_blank
 from loam.llm.folding import PRIMES, canonical, fold_hash, same_folded
+from loam.session import cut
 
 #: Relations in which the order of the two ids does not count.
 SYMMETRIC = ["knows", "partner_of", "collaborates_with", "sibling_of", "related_to", "similar_to"]
@@ -57,21 +59,19 @@ def copies(records: DataFrame, hashes: list[str]) -> DataFrame:
     ``records`` has ``row_key``, ``fields`` (array of strings without nulls), ``symmetric`` and the columns of
     ``hashes`` (never null).
     """
-    dresses = records.groupBy(*hashes, "fields", "symmetric").agg(F.count(F.lit(1)).alias("n"), F.min("row_key").alias("first"))
-    groups = dresses.groupBy(*hashes).agg(
-        F.count(F.lit(1)).alias("dresses"),
-        F.sum("n").alias("total"),
-        F.min(F.struct("first", "fields")).alias("head"),
-    )
-    plain = groups.where((F.col("dresses") == 1) & (F.col("total") > 1)).select(F.col("head.first").alias("first_key"), F.col("total").alias("copies"))
-    several = groups.where("dresses > 1").select(*hashes, F.col("head.fields").alias("head"))
-    told = dresses.join(several, hashes).select(*hashes, "fields", "head", "symmetric", "n", "first")
+    records = records.withColumn("raw", F.xxhash64("fields"))
+    head = F.min(F.struct(F.col("row_key").alias("first"), "fields")).alias("head")
+    groups = records.groupBy(*hashes).agg(F.count(F.lit(1)).alias("copies"), head, F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+    groups = cut(groups.where("copies > 1"))  # read twice, and small beside the records
+    plain = groups.where("lo = hi").select(F.col("head.first").alias("first_key"), "copies")
+    several = groups.where("lo != hi").select(*hashes, F.col("head.fields").alias("head"))
+    told = records.select(*hashes, "fields", "symmetric", "row_key").join(several, hashes)
     told = told.withColumn("same", _agrees("fields", "head", "symmetric"))
     apart = F.when(~F.col("same"), _canonical(F.when(~F.col("same"), F.col("fields")).otherwise(F.array(F.lit(""), F.lit(""), F.lit(""))), F.col("symmetric")))
     verified = (
         told.withColumn("apart", apart)
         .groupBy(*hashes, "apart")
-        .agg(F.min("first").alias("first_key"), F.sum("n").alias("copies"))
+        .agg(F.min("row_key").alias("first_key"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1")
         .select("first_key", "copies")
     )
