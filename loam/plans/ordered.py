@@ -85,6 +85,18 @@ class Bucketed:
             df = df.withColumn(new, F.when(F.col(self.order) == F.col("_edge_hi"), F.col("_edge_first")[c]).otherwise(F.col(new)))
         return self._with(df.drop("_edge_last", "_edge_first", "_edge_lo", "_edge_hi"))
 
+    def carried(self, value: str, out: str) -> Bucketed:
+        """Add ``out``: the last ``value`` that isn't null, up to and with this row."""
+        df = self.df.withColumn(out, F.last(value, ignorenulls=True).over(self._window().rowsBetween(Window.unboundedPreceding, 0)))
+        if not self.hot:
+            return self._with(df)
+        last = F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), F.col(self.order)))
+        rows = self.df.where("_bucket > 0").groupBy(*self.keys, "_bucket").agg(last.alias("_bucket_last"))
+        before = Window.partitionBy(*self.keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        summary = rows.withColumn("_carry_in", F.last("_bucket_last", ignorenulls=True).over(before))
+        df = self._join_summary(df, summary, ["_carry_in"])
+        return self._with(df.withColumn(out, F.coalesce(out, "_carry_in")).drop("_carry_in"))
+
     def column(self, name: str, value: Column) -> Bucketed:
         return self._with(self.df.withColumn(name, value))
 
