@@ -51,11 +51,16 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def front_block(text: Column) -> Column:
+    """Lines between the leading ``---`` and the next; empty without them."""
+    return F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---", 1)
+
+
 def front_matter(text: Column) -> Column:
     """Map of ``key: value`` lines of the leading ``---`` block; null without one."""
-    block = F.regexp_extract(text, r"\A---\r?\n((?s:.*?))\r?\n---", 1)
-    pairs = F.filter(F.transform(F.split(block, r"\r?\n"), lambda x: F.regexp_extract_all(x, F.lit(r"^([^:]+):\s*(.*)$"), F.lit(0))), lambda x: F.size(x) > 0)
-    entry = lambda x: F.struct(F.trim(F.regexp_extract(x[0], r"^([^:]+):", 1)), F.trim(F.regexp_extract(x[0], r"^[^:]+:\s*(.*)$", 1)))
+    block = front_block(text)
+    pairs = F.filter(F.transform(F.split(block, r"\r?\n"), lambda x: F.regexp_extract_all(x, F.lit(r"^([^:]+): *(.*)$"), F.lit(0))), lambda x: F.size(x) > 0)
+    entry = lambda x: F.struct(F.trim(F.regexp_extract(x[0], r"^([^:]+):", 1)), F.trim(F.regexp_extract(x[0], r"^[^:]+: *(.*)$", 1)))
     return F.when(block != "", F.map_from_entries(F.array_distinct(F.transform(pairs, entry))))
 
 
@@ -65,6 +70,11 @@ def links(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(found, lambda x: F.trim(F.split(x, r"\|")[0]))), lambda x: x != "")
 
 
+def words_of(text: Column) -> Column:
+    """Words between white space."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r\f]+"), lambda w: w != "")
+
+
 def chunk_size(n_words: Column) -> Column:
     return F.when(n_words < 500, 128).when(n_words <= 2000, 256).otherwise(512)
 
@@ -74,7 +84,7 @@ def chunks(text: Column, size: Column, overlap: int) -> Column:
 
     Windows step by ``size - overlap`` and end with the first that reaches the last word.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    words = words_of(text)
     n, step = F.size(words), F.greatest(F.lit(1), size - overlap)
     last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
     many = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, size), " "))
