@@ -6,8 +6,12 @@ frequencies) and one scan; term tables are never shuffled.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.functions.text import cents, lines, tokens, tokens_of
 
@@ -38,19 +42,29 @@ def term_stats(docs: DataFrame) -> DataFrame:
 
 
 def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Add ``dl`` (tokens of the document) and ``tf`` (array: occurrences of each term)."""
-    with_tokens = docs.withColumn("_t", tokens(F.col("content")))
-    tf = F.array(*[F.size(F.filter("_t", _is(t))) for t in terms]) if terms else F.array().cast("array<int>")
-    return with_tokens.withColumn("dl", F.size("_t")).withColumn("tf", tf).drop("_t")
+    """Add ``dl`` (tokens of the document) and ``tf0``, ``tf1`` ... (occurrences of each term).
+
+    Tokens are the runs of two or more word characters, so they are counted by a pattern and never materialised; a
+    term's occurrences are only counted in documents that contain its letters.
+    """
+    rows = docs.withColumn("_low", F.lower(F.coalesce("content", F.lit(""))))
+    of = lambda t: F.when(F.col("_low").contains(t), F.regexp_count("_low", F.lit(rf"(?<![\p{{L}}\p{{N}}_])\Q{t}\E(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
+    counts = {f"tf{i}": of(t) for i, t in enumerate(terms)} | {"dl": F.regexp_count("_low", F.lit(r"[\p{L}\p{N}_]{2,}"))}
+    return rows.withColumns(counts).drop("_low")
 
 
-def _is(term: str):
-    return lambda x: x == term
+def matching(docs: DataFrame, query: str, terms: list[str]) -> DataFrame:
+    """Documents that contain the letters of a term or of the query; a cheap filter before any pattern runs."""
+    low, name = F.lower("content"), F.lower(F.translate("stem", "-", " "))
+    met = F.lit(False)
+    for t in dict.fromkeys([*terms, query]):
+        met = met | low.contains(t) | name.contains(t)
+    return docs.where(met)
 
 
 def frequencies(rows: DataFrame, terms: list[str]) -> dict:
     """``n, avgdl, df`` of the corpus: one row, whatever the corpus."""
-    df = [F.sum(F.when(F.col("tf")[i] > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]
+    df = [F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]
     r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"), *df).first()
     n = r["n"]
     return {"n": n, "avgdl": (r["dl"] or 0) / max(n, 1) or 1.0, "df": [r[f"df{i}"] or 0 for i in range(len(terms))]}
@@ -65,7 +79,7 @@ def bm25(stats: dict, terms: list[str], names: bool = True) -> Column:
     total = F.lit(0.0)
     for i, t in enumerate(terms):
         idf = F.log(F.lit((stats["n"] - stats["df"][i] + 0.5) / (stats["df"][i] + 0.5) + 1.0))
-        tf = F.col("tf")[i]
+        tf = F.col(f"tf{i}")
         if names:
             tf = F.when((tf == 0) & _in_stem(t), 1).otherwise(tf)
         tf = tf.cast("double")
@@ -77,8 +91,9 @@ def bm25(stats: dict, terms: list[str], names: bool = True) -> Column:
 def bm25_topk(docs: DataFrame, query: str, top_k: int = 20) -> DataFrame:
     """``doc_id, score`` of the best documents by plain BM25; ties by ``doc_id``.  No terms, no rows."""
     terms = list(dict.fromkeys(tokens_of(query)))
-    rows = counted(docs, terms)
-    scored = rows.select("doc_id", bm25(frequencies(rows, terms), terms, names=False).alias("score"))
+    stats = frequencies(counted(docs, terms), terms)
+    rows = counted(matching(docs, query.lower(), terms), terms)
+    scored = rows.select("doc_id", bm25(stats, terms, names=False).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(top_k)
 
 
@@ -100,15 +115,13 @@ def composite(docs: DataFrame, query: str, as_of: str, terms: list[str] | None =
     """
     q = query.strip().lower()
     terms = terms if terms is not None else list(dict.fromkeys(tokens_of(query)))
-    rows = counted(docs, terms).withColumn("_low", F.lower("content")).withColumn("_name", F.lower(F.translate("stem", "-", " ")))
-    stats = frequencies(rows, terms)
+    stats = frequencies(counted(docs, terms), terms)
+    rows = counted(docs if fuzzy else matching(docs, q, terms), terms).withColumns({"_low": F.lower("content"), "_name": F.lower(F.translate("stem", "-", " "))})
     n = stats["n"]
     exact = F.when(F.col("_low").contains(q), 1.0).when(F.col("_name").contains(q), 0.8).otherwise(0.0)
     weight = [max(0.1, (n - (df or 1) + 0.5) / ((df or 1) + 0.5)) for df in stats["df"]]
-    met = sum((F.when((F.col("tf")[i] > 0) | F.col("_name").contains(t), F.lit(weight[i])).otherwise(0.0) for i, t in enumerate(terms)), F.lit(0.0))
+    met = sum((F.when((F.col(f"tf{i}") > 0) | F.col("_name").contains(t), F.lit(weight[i])).otherwise(0.0) for i, t in enumerate(terms)), F.lit(0.0))
     token = met / F.lit(sum(weight) or 1.0)
-    import math
-
     most = sum(math.log((n - df + 0.5) / (df + 0.5) + 1.0) for df in stats["df"]) * (K1 + 1)
     scaled = F.least(F.lit(1.0), bm25(stats, terms) / F.lit(most or 1.0))
     words = tokens_of(query)
@@ -123,17 +136,15 @@ def composite(docs: DataFrame, query: str, as_of: str, terms: list[str] | None =
     base = F.when(F.col("exact") > 0, F.greatest("exact", F.least(F.lit(1.0), 0.55 * F.col("exact") + 0.25 * F.col("token") + 0.20 * F.col("bm25")))).otherwise(
         F.least(F.lit(1.0), 0.45 * F.col("token") + 0.30 * F.col("bm25") + 0.25 * F.col("fuzzy"))
     )
-    hits = scored.where((F.col("exact") > 0) | (F.col("token") > 0) | (F.col("bm25") > 0) | (F.col("fuzzy") >= 0.3))
-    hits = hits.withColumn("score", cents(F.least(F.lit(1.0), base + F.col("bonus")))).drop("bonus", "token", "bm25")
-    best = Window.partitionBy("stem").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    hit = (F.col("exact") > 0) | (F.col("token") > 0) | (F.col("bm25") > 0) | (F.col("fuzzy") >= 0.3)
+    hits = scored.withColumns({"score": cents(F.least(F.lit(1.0), base + F.col("bonus"))), "_hit": hit}).drop("bonus", "token", "bm25")
+    # the hit is tested behind the window: before it, the optimizer would evaluate all signals twice
+    best = Window.partitionBy("stem").orderBy(F.desc("_hit"), F.desc("score"), "doc_id")
+    return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1 and _hit").drop("_r", "_hit")
 
 
 def _similarity(column: str, query: str) -> Column:
     """Largest difflib ratio of the query and a line; whole texts, Arrow-vectorised."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     @F.arrow_udf(T.DoubleType())
     def ratio(texts: pa.Array) -> pa.Array:
         from difflib import SequenceMatcher

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loam.operators import facts, graph, lexical
 from loam.queries.retrieval import DOCS
-from loam.sources.tables import table
+from loam.sources.tables import spread, table
 
 DAY = "2023-06-30"
 SEED = "shared-inbox-relay"
@@ -26,7 +26,7 @@ def _n(s, d):
 
 
 def _d(s, d):
-    return lexical.corpus(table(s, d, "documents"))
+    return lexical.corpus(spread(table(s, d, "documents")))
 
 
 def _role_of_documents(s, d):

@@ -8,14 +8,14 @@ from loam.functions.text import tokens_of
 from loam.operators import facts, lexical, multipass, reports
 from loam.queries.memory import FV
 from loam.queries.retrieval import AS_OF, DOCS, Q, WORDS, composite_sql, top_sql
-from loam.sources.tables import table
+from loam.sources.tables import spread, table
 
 SNAPS = {"2024-01-01": "dir <> 'tasks'", "2025-01-01": "dir <> 'debug'", "2026-01-01": "dir <> 'inbox'"}
 WHO = "shared-inbox-relay"
 
 
 def _d(s, d):
-    return lexical.corpus(table(s, d, "documents"))
+    return lexical.corpus(spread(table(s, d, "documents")))
 
 
 def _three(s, d):

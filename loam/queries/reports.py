@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from loam.functions import text
 from loam.operators import lexical, lifecycle, reports
 from loam.queries.retrieval import DOCS, WORDS
-from loam.sources.tables import table
+from loam.sources.tables import spread, table
 
 AS_OF = "2026-01-01"
 
 
 def _d(s, d):
-    return lexical.corpus(table(s, d, "documents"))
+    return lexical.corpus(spread(table(s, d, "documents")))
 
 
 def _m(s, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text
 from loam.operators import fusion, lexical, ranking, routing
-from loam.sources.tables import table
+from loam.sources.tables import spread, table
 
 Q = "choir rehearsal plan budget"
 AS_OF = "2026-01-01"
@@ -20,7 +20,7 @@ DOCS = (
 
 
 def docs(spark, d):
-    return lexical.corpus(table(spark, d, "documents"))
+    return lexical.corpus(spread(table(spark, d, "documents")))
 
 
 def counted_sql(terms: list[str], name: str = "c") -> str:
@@ -127,7 +127,7 @@ QUERIES = {
     "timeline_search": lambda s, d: routing.timeline(docs(s, d), Q, AS_OF, 40),
     "latest_search": lambda s, d: routing.latest(docs(s, d), Q, AS_OF, 30),
     "preference_search": lambda s, d: routing.preference(docs(s, d), Q, AS_OF, 40),
-    "counting_sweep": lambda s, d: routing.counting(lexical.corpus(table(s, d, "documents")).join(table(s, d, "documents", "doc_id", "entity"), "doc_id"), table(s, d, "edges", "from_id", "to_id"), "how many storage quota reviews", AS_OF),
+    "counting_sweep": lambda s, d: routing.counting(lexical.corpus(spread(table(s, d, "documents"))).join(table(s, d, "documents", "doc_id", "entity"), "doc_id"), table(s, d, "edges", "from_id", "to_id"), "how many storage quota reviews", AS_OF),
     "classify_questions": lambda s, d: routing.user_turns(docs(s, d)).select("doc_id", "pos", routing.classify_simple(F.col("question")).alias("simple_class"), routing.classify(F.col("question")).alias("question_type")),
     "confidence_bucket": lambda s, d: hits(s, d).select("doc_id", "score", ranking.confidence(F.col("score"), F.col("content")).alias("confidence")),
     "context_budget": lambda s, d: ranking.budget(snippet(hits(s, d)), 1500),

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work where a small input has fewer splits than half the cores.
+
+    A large input has more splits than that and is returned as it is, so no corpus is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Read ``folder/name.parquet``; with ``columns`` only those reach the scan."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
