@@ -111,6 +111,7 @@ _has = lambda col, cues: " OR ".join(f"contains(lower({col}), '{_q(c)}')" for c
 _hits = lambda col, cues: "(" + " + ".join(f"contains(lower({col}), '{_q(c)}')::INT" for c in cues) + ")"
 _TYPE = "CASE " + " ".join(f"WHEN {_has('text', c)} THEN '{k}'" for k, c in lifecycle.MEMORY_TYPES.items()) + " ELSE 'default' END"
 _RATE = "CASE memory_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in lifecycle.DECAY.items()) + " END"
+_DECAYED = (_TYPE, _RATE)
 _SNAP = f"{DOCS}, a AS (SELECT path, content FROM docs WHERE dir <> 'tasks'), b AS (SELECT path, CASE WHEN dir = 'decisions' THEN content || '!' ELSE content END AS content FROM docs WHERE dir <> 'debug'), j AS (SELECT coalesce(a.path, b.path) AS path, a.content AS x, b.content AS y FROM a FULL JOIN b ON a.path = b.path)"
 _SENT = f"{_LINES}, st AS (SELECT doc_id, line_no, list_filter(list_transform(string_split(regexp_replace(line, '([.!?])[ \\t\\r\\f]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM ln), se AS (SELECT doc_id, line_no, unnest(p) AS sentence, generate_subscripts(p, 1) - 1 AS sentence_no FROM st)"
 _SENTI = f"CASE WHEN {_hits('sentence', reports.NEGATIVE)} > {_hits('sentence', reports.POSITIVE)} THEN 'negative' WHEN {_hits('sentence', reports.POSITIVE)} > {_hits('sentence', reports.NEGATIVE)} THEN 'positive' ELSE 'neutral' END"
