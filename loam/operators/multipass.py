@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import tokens, tokens_of
 from loam.operators import facts, fusion, lexical
-from loam.operators.reports import cosine
+from loam.operators.reports import cosine, vector_literal
 
 
 def three_pass(docs: DataFrame, edges: DataFrame, view: DataFrame, query: str, as_of: str, top_k: int = 20) -> DataFrame:
@@ -40,8 +40,8 @@ def hybrid(a: DataFrame, b: DataFrame, alpha: float = 0.5, k: int = fusion.RRF_K
 
 
 def nearest(embeddings: DataFrame, query: list[float], top: int) -> DataFrame:
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return embeddings.select(F.col("vec_id").alias("doc_id"), cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "doc_id").limit(top)
+    q = vector_literal(query)
+    return embeddings.where("vec_id is not null").select(F.col("vec_id").alias("doc_id"), cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "doc_id").limit(top)
 
 
 def time_travel(snapshots: DataFrame, day: str, query: str) -> DataFrame:

@@ -230,10 +230,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0) | norm.isNull(), 0.0).otherwise(dot(a, b) / norm)
 
 
+def vector_literal(query: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in query]) if query else F.array().cast("array<double>")
+
+
+def first_vector(embeddings: DataFrame) -> list[float]:
+    """Vector of the smallest id; empty if there is none."""
+    row = embeddings.where("embedding is not null").orderBy("vec_id").first()
+    return list(row["embedding"]) if row else []
+
+
 def vector_topk(embeddings: DataFrame, query: list[float], top: int = 10) -> DataFrame:
     """``vec_id, label, score`` of the nearest vectors, compared with every one."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return embeddings.select("vec_id", "label", cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(top)
+    q = vector_literal(query)
+    return embeddings.where("vec_id is not null").select("vec_id", "label", cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(top)
 
 
 def vector_stats(embeddings: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ def _three(s, d):
 
 
 def _hybrid(s, d):
-    first = table(s, d, "embeddings").orderBy("vec_id").first()
-    return multipass.hybrid(lexical.search(_d(s, d), Q, AS_OF, 30), multipass.nearest(table(s, d, "embeddings"), list(first["embedding"]), 30)).select("doc_id", "n_lists", "rrf_score", "confidence")
+    vectors = table(s, d, "embeddings")
+    return multipass.hybrid(lexical.search(_d(s, d), Q, AS_OF, 30), multipass.nearest(vectors, reports.first_vector(vectors), 30)).select("doc_id", "n_lists", "rrf_score", "confidence")
 
 
 def _travel(s, d):

@@ -49,8 +49,8 @@ def _snapshots(s, d):
 
 def _vector_query(s, d):
     """Nearest to the vector of smallest id."""
-    first = table(s, d, "embeddings").orderBy("vec_id").first()
-    return reports.vector_topk(table(s, d, "embeddings"), list(first["embedding"])).select("vec_id", "label")
+    vectors = table(s, d, "embeddings")
+    return reports.vector_topk(vectors, reports.first_vector(vectors)).select("vec_id", "label")
 
 
 def _changed(s, d):
