@@ -110,3 +110,25 @@ def persona_context(view: DataFrame, entity: str, day: str) -> DataFrame:
     path = steps.select(F.lit("evolution").alias("layout"), F.concat_ws(" ", "key", "vf", "value").alias("line"))
     count = own.groupBy("key").agg(F.countDistinct("value").alias("n")).select(F.lit("by_key").alias("layout"), F.concat_ws("=", "key", "n").alias("line"))
     return now.unionByName(path).unionByName(count)
+
+
+def compound(docs: DataFrame, query: str, as_of: str, top_k: int = 20) -> DataFrame:
+    """``doc_id, score``: a compound question by its parts, then one hop along the wiki links of the hits.
+
+    The parts' scores are merged by their maximum and cut to ``top_k``; documents about what those link to score 0.3
+    for each word of the question they hold and 0.5 for a whole part, 1.0 at most.  ``docs`` has ``entity``.
+    """
+    from loam.functions.text import links, subqueries
+
+    parts = subqueries(query)
+    plain = docs.drop("entity")
+    first = fusion.maximum([lexical.search(plain, p, as_of, top_k) for p in parts]).orderBy(F.desc("score"), "doc_id").limit(top_k)
+    targets = docs.join(F.broadcast(first.select("doc_id")), "doc_id").select(F.explode(links(F.col("content"))).alias("entity")).distinct()
+    low = F.lower("content")
+    words = sum((low.contains(w).cast("int") for w in dict.fromkeys(tokens_of(query))), F.lit(0))
+    whole = F.lit(False)
+    for p in parts:
+        whole = whole | low.contains(p.lower())
+    score = F.least(F.lit(1.0), 0.3 * words + F.when(whole, 0.5).otherwise(0.0))
+    hop = docs.join(targets, "entity", "left_semi").join(first.select("doc_id"), "doc_id", "left_anti").select("doc_id", score.alias("score")).where("score > 0")
+    return first.unionByName(hop).orderBy(F.desc("score"), "doc_id").limit(2 * top_k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loam.functions.text import tokens_of
+from loam.functions.text import subqueries, tokens_of
 from loam.operators import facts, lexical, multipass, reports
 from loam.queries.memory import FV
 from loam.queries.retrieval import AS_OF, DOCS, Q, WORDS, composite_sql, top_sql
@@ -55,7 +55,17 @@ def _stream_counts(s, d):
     return s.table(name).groupBy("event_type").agg(F.max("n").alias("n"))
 
 
+COMPOUND = "what is the budget of the garden survey?"
+PARTS = subqueries(COMPOUND)
+
+
+def _compound(s, d):
+    named = _d(s, d).join(table(s, d, "documents", "doc_id", "entity"), "doc_id")
+    return multipass.compound(named, COMPOUND, AS_OF)
+
+
 QUERIES = {
+    "compound_search": _compound,
     "three_pass_search": _three,
     "hybrid_search": _hybrid,
     "time_travel": _travel,
@@ -70,7 +80,16 @@ QUERIES = {
 _W = lambda q: list(dict.fromkeys(tokens_of(q)))
 _rank = lambda src, k="entity": f"SELECT {k}, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, {k})) AS x FROM {src}"
 _NOW = "SELECT key, value FROM o WHERE (vf IS NULL OR vf <= '2024-06-30') AND (vt IS NULL OR vt >= '2024-06-30') QUALIFY row_number() OVER (PARTITION BY key ORDER BY recorded DESC, line_no, value DESC) = 1"
+_PART = ", ".join(f"{composite_sql(q, f'c{i}')}, h{i} AS ({top_sql(f'c{i}', 20)})" for i, q in enumerate(PARTS))
+_HELD = " + ".join(f"contains(lower(content), '{w}')::INT" for w in _W(COMPOUND))
+_WHOLE = " OR ".join(f"contains(lower(content), '{p.lower()}')" for p in PARTS)
 SQL: dict[str, str] = {
+    "compound_search": (
+        f"WITH {DOCS}, {_PART}, f AS (SELECT doc_id, max(score) AS score FROM ({' UNION ALL '.join(f'SELECT * FROM h{i}' for i in range(len(PARTS)))}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20)"
+        ", t AS (SELECT DISTINCT trim(string_split(unnest(regexp_extract_all(content, '\\[\\[([^\\[\\]\\n]+)\\]\\]', 1)), '|')[1]) AS entity FROM docs WHERE doc_id IN (SELECT doc_id FROM f))"
+        f", p AS (SELECT doc_id, least(1::DOUBLE, 0.3::DOUBLE * ({_HELD}) + (CASE WHEN {_WHOLE} THEN 0.5 ELSE 0 END)::DOUBLE) AS score FROM docs WHERE entity IN (SELECT entity FROM t) AND doc_id NOT IN (SELECT doc_id FROM f))"
+        " SELECT * FROM (SELECT * FROM f UNION ALL SELECT * FROM p WHERE score > 0) ORDER BY score DESC, doc_id LIMIT 40"
+    ),
     "three_pass_search": (
         f"WITH {DOCS}, {composite_sql(Q, 'c')}, h AS ({top_sql('c', 40)}), {FV}, e AS (SELECT * FROM (SELECT lower(trim(from_id)) AS from_id, lower(trim(to_id)) AS to_id FROM edges) WHERE from_id <> '' AND to_id <> '')"
         ", a AS (SELECT entity, max(score) AS score FROM h JOIN docs ON h.doc_id = docs.doc_id WHERE entity IS NOT NULL GROUP BY entity), s AS (SELECT entity AS seed FROM a ORDER BY score DESC, entity LIMIT 5)"
