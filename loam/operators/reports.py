@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from hashlib import blake2b
+from itertools import combinations
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loam.functions.text import WORD, chunk_size, chunks, jaccard, lines, tokens, words_of
+from loam.plans.components import components
+from loam.session import cut
+
+COMMON_SHARE = 10_000
 
 #: Words that are no keywords.
 STOPS = """the a an is are was were be been being have has had do does did will would could should may might can shall must need i me my mine
@@ -138,14 +152,136 @@ def debug_status(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), n("confirmed"), n("rejected"), n("testing"), F.coalesce(F.max(F.when(F.col("status") == "testing", F.col("no"))), F.lit(0)).alias("current"))
 
 
-def near_lines(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
+def near_lines(docs: DataFrame) -> DataFrame:
     """``line, n_docs, n_lines``: bullet lines that agree once numbers, names and marks are dropped, in several
-    documents.  One row per class; no pairs are made."""
+    documents.  One row per form; no pairs are made.  Lines that are merely similar are linked by ``similar_lines``."""
     rows = docs.select("doc_id", F.explode(lines(F.col("content"))).alias("line")).where(F.col("line").startswith("- ") & (F.length("line") > 12))
     shape = F.array_join(F.filter(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), lambda w: ~w.rlike(r"^(?:\p{Lu}|[0-9])")), " ")
     return rows.select("doc_id", shape.alias("line")).where("line != ''").groupBy("line").agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_lines")).where("n_docs > 1")
 
 
+def bullets(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, line``: bullets of more than ten characters, without source tags and outer white space."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    rows = docs.select("doc_id", F.posexplode(lines(F.col("content"))).alias("line_no", "line")).withColumn("line", strip(F.col("line")))
+    rows = rows.where(F.col("line").startswith("- ") & (F.length("line") > 10))
+    return rows.withColumn("line", strip(F.regexp_replace("line", r"\[Source:.*?\]", ""))).where(F.col("line").startswith("- "))
+
+
+def _numbered(line: str) -> list[tuple[str, int]]:
+    """Words of a line; the k-th of equal words is a token of its own."""
+    seen: Counter[str] = Counter()
+    out = []
+    for w in line.split():
+        seen[w] += 1
+        out.append((w, seen[w]))
+    return out
+
+
+def word_ratio(a: str, b: str) -> float:
+    """The ratio of difflib over the words of two lines, the smaller line first."""
+    a, b = sorted((a, b))
+    return SequenceMatcher(None, a.split(), b.split()).ratio()
+
+
+def _often(distinct: DataFrame) -> dict[str, int]:
+    """Lines of each word in a ten-thousandth of the lines or more, which bounds what is broadcast."""
+    counts = distinct.select(F.explode(F.array_distinct(words_of(F.col("line")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= max(2, distinct.count() // COMMON_SHARE)).collect()}
+
+
+def _code(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+
+
+def _line_groups(distinct: DataFrame, often: Broadcast, threshold: float) -> DataFrame:
+    """``no, line, rep``: lines that agree but for their rarest word have the smallest of them as ``rep``, if they reach
+    the threshold with it; others have themselves.  A form with thousands of dates or names is so tied without pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rests = []
+            for line in b.column(1).to_pylist():
+                words = line.split()
+                at = min(range(len(words)), key=lambda i: (often.value.get(words[i], 0), words[i]))
+                rests.append(_code(" ".join([*words[:at], "", *words[at + 1 :]])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rests, pa.int64())], ["no", "line", "rest"])
+
+    rows = distinct.select("no", "line").mapInArrow(run, "no long, line string, rest long")
+    least = rows.groupBy("rest").agg(F.min(F.struct("line", "no")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("rest", "m")
+    tied = rows.join(least, "rest", "left")
+    return tied.select("no", "line", F.when(F.col("m").isNotNull() & _alike(threshold)(F.coalesce("m.line", "line"), "line"), F.col("m.no")).otherwise(F.col("no")).alias("rep"))
+
+
+def _line_keys(rows: DataFrame, often: Broadcast, threshold: float) -> DataFrame:
+    """``key, no, rep, side, gap, bits``: hashed pairs of the rarest words of each line, for each number of words of a partner;
+    ``side`` is 1 for a longer partner, -1 for a shorter one.  Words that lines do not share flip one bit of ``bits`` each
+    at most, so more than ``gap`` flipped bits rule a pair out.
+
+    Lines of ``a`` and ``b`` words that reach the threshold share ``need = threshold / 2 * (a + b)`` of them or more,
+    so the two rarest shared words are among the ``a - need + 2`` rarest of the one and ``b - need + 2`` of the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = often.value
+        for batch in batches:
+            keys, nos, reps, sides, gaps, bits = [], [], [], [], [], []
+            for no, line, rep in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = sorted(_numbered(line), key=lambda w: (count.get(w[0], 0), w))
+                a, reach = len(words), threshold / (2 - threshold)
+                codes: list[int] = []
+                for b in range(math.ceil(reach * a - 1e-9), math.floor(a / reach + 1e-9) + 1):
+                    most = a - math.ceil(threshold / 2 * (a + b) - 1e-9) + 2
+                    codes += [_code(f"{w} {k}") for w, k in words[len(codes) : most]]
+                    sizes = min(a, b) * 1_000_003 + max(a, b)
+                    keys += [((x * 0x9E3779B97F4A7C15 + y) * 31 + sizes) % (1 << 63) for x, y in combinations(codes[:most], 2)]
+                    sides += [(b > a) - (b < a)] * (len(keys) - len(sides))
+                    gaps += [math.floor((1 - threshold) * (a + b) + 1e-9)] * (len(keys) - len(gaps))
+                flips = 0
+                for w, k in words:
+                    flips ^= 1 << _code(f"{w} {k}") % 63
+                bits += [flips] * (len(keys) - len(bits))
+                nos += [no] * (len(keys) - len(nos))
+                reps += [rep] * (len(keys) - len(reps))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, nos, reps, sides, gaps, bits)], ["key", "no", "rep", "side", "gap", "bits"])
+
+    return rows.select("no", "line", "rep").mapInArrow(run, "key long, no long, rep long, side long, gap long, bits long")
+
+
+def _alike(threshold: float):
+    @F.arrow_udf(T.BooleanType())
+    def alike(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True):
+            a, b = x.split(), y.split()
+            most = 2 * (Counter(a) & Counter(b)).total() / max(1, len(a) + len(b))
+            out.append(x == y or (most >= threshold and word_ratio(x, y) >= threshold))
+        return pa.array(out, pa.bool_())
+
+    return alike
+
+
+def similar_lines(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``doc_id, line_no, class_line``: every bullet with the smallest line of its class.
+
+    Two lines are linked if difflib's ratio of their words is ``threshold`` or more; classes are connected lines.
+    Candidates are complete (``_line_keys``) and verified; lines that ``_line_groups`` ties are not paired again.
+    """
+    rows = bullets(docs)
+    distinct = cut(rows.select("line").distinct().withColumn("no", F.monotonically_increasing_id()))
+    often = distinct.sparkSession.sparkContext.broadcast(_often(distinct))
+    tied = cut(_line_groups(distinct, often, threshold))
+    keys = _line_keys(tied, often, threshold)
+    met = keys.where("side >= 0").alias("a").join(keys.where("side <= 0").alias("b"), F.col("a.key") == F.col("b.key")).where("a.rep != b.rep and (a.side > 0 or a.no < b.no) and bit_count(a.bits ^ b.bits) <= a.gap")
+    pairs = met.select(F.least("a.no", "b.no").alias("u"), F.greatest("a.no", "b.no").alias("v")).distinct()
+    pairs = pairs.join(distinct.select(F.col("no").alias("u"), F.col("line").alias("x")), "u").join(distinct.select(F.col("no").alias("v"), F.col("line").alias("y")), "v")
+    links = pairs.where(_alike(threshold)("x", "y")).select("u", "v").unionByName(tied.where("no != rep").select(F.col("no").alias("u"), F.col("rep").alias("v")))
+    found = components(cut(links))
+    grouped = cut(distinct.join(found.withColumnRenamed("node", "no"), "no", "left").select("line", F.coalesce("component", "no").alias("class")))
+    least = grouped.groupBy("class").agg(F.min("line").alias("class_line"))
+    return rows.join(grouped.join(least, "class").select("line", "class_line"), "line").select("doc_id", "line_no", "class_line")
+
+
 # --- events ---------------------------------------------------------------------------------------------------
 
 

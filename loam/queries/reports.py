@@ -83,6 +83,7 @@ QUERIES = {
     "debug_hypotheses": lambda s, d: reports.debug_hypotheses(_d(s, d)),
     "debug_status": lambda s, d: reports.debug_status(_d(s, d)),
     "near_lines": lambda s, d: reports.near_lines(_d(s, d)),
+    "similar_lines": lambda s, d: reports.similar_lines(_d(s, d)),
     "term_overlap": lambda s, d: reports.term_overlap(_d(s, d), "storage quota review"),
     "incident_search": lambda s, d: reports.incident_search(_ev(s, d), ["high", "critical"], "2024-01-05", "2024-01-25"),
     "reasoning_patterns": lambda s, d: reports.patterns(_ev(s, d)),
