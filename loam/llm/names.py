@@ -287,16 +287,19 @@ def entities(read: DataFrame) -> DataFrame:
     fits = F.when(F.length("w.other") == 1, F.substring("s.other", 1, 1) == F.col("w.other")).otherwise(F.col("s.other") == F.col("w.other"))
     met = forms.where("weak").alias("w").join(strong.alias("s"), (F.col("w.cls") == F.col("s.cls")) & (F.col("w.core") == F.col("s.core")) & fits)
     named = cut(read.join(forms, ["cls", "core", "other", "weak"]).select("src", "key", "form", "weak").distinct())
-    options = named.where("weak").join(met.select(F.col("w.form").alias("form"), F.col("s.form").alias("v"), F.col("s.other").alias("full")), "form")
-    sole = options.groupBy("src", "key").agg(F.min("full").alias("lo"), F.max("full").alias("hi"), F.min("form").alias("u"), F.min("v").alias("v"))
-    stands = sole.where("lo = hi").select("u", "v")
-    alike = named.groupBy("src", "key").agg(F.min("form").alias("u"))
-    same = named.where("not weak").join(alike, ["src", "key"]).where("form != u").select("u", F.col("form").alias("v"))
-    links = typos.unionByName(stands).unionByName(same).distinct()
-    grouped = components(cut(links))
-    # a nickname of several names is in every group it may be read as; keep the first reading, which its links join
-    first = named.join(grouped.withColumnRenamed("node", "form"), "form", "left").select("src", "key", F.coalesce("component", "form").alias("entity"))
-    return first.groupBy("src", "key").agg(F.min("entity").alias("entity"))
+    options = named.where("weak").join(met.select(F.col("w.form").alias("form"), F.col("s.form").alias("v"), F.col("s.core").alias("core"), F.col("s.other").alias("full")), "form")
+    sole = options.groupBy("src", "key", "core").agg(F.min("full").alias("lo"), F.max("full").alias("hi")).where("lo = hi").select("src", "key", "core")
+    stands = cut(options.join(sole, ["src", "key", "core"]).select("src", "key", "form", "v"))
+    # a name's own forms are its sure ones and those of its resolved weak readings
+    own = named.where("not weak").select("src", "key", "form").unionByName(stands.select("src", "key", "form")).distinct()
+    alike = own.groupBy("src", "key").agg(F.min("form").alias("u"))
+    same = own.join(alike, ["src", "key"]).where("form != u").select("u", F.col("form").alias("v"))
+    links = typos.unionByName(stands.select(F.col("form").alias("u"), "v")).unionByName(same).distinct()
+    grouped = components(cut(links)).withColumnRenamed("node", "form")
+    sure = own.join(grouped, "form", "left").groupBy("src", "key").agg(F.min(F.coalesce("component", "form")).alias("sure"))
+    # a weak name that nothing resolves is one with those of the same readings only, whatever the order of the forms
+    readings_of = named.groupBy("src", "key").agg(F.concat_ws(",", F.sort_array(F.collect_set("form")).cast("array<string>")).alias("open"))
+    return readings_of.join(sure, ["src", "key"], "left").select("src", "key", F.coalesce(F.concat(F.lit("="), F.col("sure")), F.col("open")).alias("entity"))
 
 
 def linked_names(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
