@@ -16,7 +16,7 @@ from http import HTTPStatus
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 8_000
@@ -24,6 +24,7 @@ ROUNDS = 8
 PRIOR = 0.02
 SMOOTHING = 0.02
 THRESHOLD = 2.0
+TRUSTED = 4.0
 HEADS = {"<heading>", "<front>"}
 
 #: HTML tags that are markup, not slots.
@@ -160,8 +161,8 @@ class Residue:
         return self.bias + sum(self.weights.get(t, 0.0) for t in tokens)
 
 
-def learn(records: list[list[tuple[list[str], bool]]], rounds: int = ROUNDS, prior: float = PRIOR) -> Residue:
-    """Expectation-maximization over the passages of sampled records.
+def learn(records: list[list[tuple[list[str], bool]]], rounds: int = ROUNDS, prior: float = PRIOR, shares: list[float] | None = None) -> Residue:
+    """Expectation-maximization over the passages of sampled records; ``shares`` weighs each record (1 by default).
 
     In a short record whose passages are mostly trusted, every passage but a heading is.  An untrusted passage gains
     weight only as far as its whole record looks like residue, so a sentence of ordinary notes that shares words with
@@ -186,10 +187,12 @@ def learn(records: list[list[tuple[list[str], bool]]], rounds: int = ROUNDS, pri
     v, record_of = len(vocabulary), np.array(of)
     body = np.array([HEADS.isdisjoint(r) for r in rows])
     bodies = np.bincount(record_of[body], minlength=len(records)).clip(1)
+    share = np.ones(len(ids)) if shares is None else np.array(shares, float)[record_of]
     for _ in range(rounds):
-        pos = np.bincount(flat, weight[row], v) + SMOOTHING
-        neg = np.bincount(flat, 1 - weight[row], v) + SMOOTHING
-        odds = np.log(pos / (weight.sum() + 1)) - np.log(neg / ((1 - weight).sum() + 1))
+        is_pos, is_neg = weight * share, (1 - weight) * share
+        pos = np.bincount(flat, is_pos[row], v) + SMOOTHING
+        neg = np.bincount(flat, is_neg[row], v) + SMOOTHING
+        odds = np.log(pos / (is_pos.sum() + 1)) - np.log(neg / (is_neg.sum() + 1))
         odds = np.clip(odds, -6, 6)
         bias = np.log(prior / (1 - prior))
         score = bias + np.bincount(row, odds[flat], len(ids))
@@ -201,30 +204,58 @@ def learn(records: list[list[tuple[list[str], bool]]], rounds: int = ROUNDS, pri
 
 
 def verdict(model: Residue, text: str | None) -> float:
-    """Score of a record: that of its most residue-like passage; null and blank records have none."""
+    """Score of a record: that of its most residue-like passage, ``TRUSTED`` at least for a trusted one (repeated words
+    alone only teach); null and blank records have none."""
     if not text or not text.strip():
         return -1e9
-    return max((model.score(tokens) for _, tokens, _ in passages(text)), default=-1e9)
+    return max((max(model.score(tokens), TRUSTED if trusted and "<repeated>" not in tokens else -1e9) for _, tokens, trusted in passages(text)), default=-1e9)
 
 
-def _sample(documents: DataFrame, docs: int) -> list[list[tuple[list[str], bool]]]:
-    """Tokenised passages of about ``docs`` documents, chosen by a hash of their id."""
+def _sample(documents: DataFrame, docs: int) -> tuple[list[list[tuple[list[str], bool]]], list[float]]:
+    """Tokenised passages of sampled documents and the weight of each.
+
+    Every document is read.  Up to ``docs // 2`` of those with a trusted passage and about ``docs`` of the others, each
+    the smallest by a hash of the id, reach the driver.  Weights, in units of the others' sample, give the two kinds
+    their share of the corpus; trusted ones keep that of the prior at least, but never more than one each.
+    """
     total = documents.count()
-    share = min(1.0, docs / max(total, 1))
-    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    space = 1 << 40
+    within = int(min(1.0, docs / max(total, 1)) * space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            records = [[{"t": sorted(k), "s": s} for _, k, s in passages(t)] for t in batch.column("text").to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.list_(pa.struct([("t", pa.list_(pa.string())), ("s", pa.bool_())])))], ["p"])
-
-    rows = chosen.select("text").mapInArrow(run, "p array<struct<t: array<string>, s: boolean>>").collect()
-    return [[(p["t"], p["s"]) for p in r["p"]] for r in sorted(rows, key=lambda r: str(r["p"])[:200])]
+            out = []
+            for h, t in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = passages(t) if t else []
+                trusted = any(s for _, _, s in found)
+                if trusted or h < within:
+                    out.append((h, trusted, [{"t": sorted(k), "s": s} for _, k, s in found]))
+            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.struct([("t", pa.list_(pa.string())), ("s", pa.bool_())]))]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["h", "trusted", "p"])
+
+    hashed = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(space)).alias("h"), "text")
+    rows = hashed.mapInArrow(run, "h long, trusted boolean, p array<struct<t: array<string>, s: boolean>>")
+    # the row-number limit is applied per task before the shuffle
+    most = max(1, docs // 2)
+    first = rows.withColumn("pos", F.row_number().over(Window.partitionBy("trusted").orderBy("h"))).where(F.col("pos") <= max(most, docs + docs // 8))
+    kept = sorted(first.where(~F.col("trusted") | (F.col("pos") <= most)).select("h", "trusted", "p").collect(), key=lambda r: (r["h"], str(r["p"])[:200]))
+    records = [[(p["t"], p["s"]) for p in r["p"]] for r in kept]
+    sure = [r["h"] for r in kept if r["trusted"]]
+    rate = within / space
+    rate_sure = 1.0 if len(sure) < most else (sure[-1] + 1) / space
+    # the prior's share is taken over passages, as the model counts them
+    n_sure = sum(len(x) for x, r in zip(records, kept, strict=True) if r["trusted"])
+    n_rest = sum(len(x) for x in records) - n_sure
+    share = max(rate / rate_sure, min(1.0, PRIOR * n_rest / max(n_sure, 1)))
+    return records, [share if r["trusted"] else 1.0 for r in kept]
 
 
 def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Residue:
-    """Learn the model from about ``sample_docs`` documents (the documented bound of what reaches the driver)."""
-    return learn(_sample(documents.select("doc_id", "text"), sample_docs))
+    """Learn the model from about ``sample_docs`` documents and half as many with trusted residue (the documented bound
+    of what reaches the driver)."""
+    records, shares = _sample(documents.select("doc_id", "text"), sample_docs)
+    return learn(records, shares=shares)
 
 
 def residue_scores(documents: DataFrame, model: Residue) -> DataFrame:
