@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from difflib import SequenceMatcher
 from hashlib import blake2b
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -382,6 +384,41 @@ def vector_topk(embeddings: DataFrame, query: list[float], top: int = 10) -> Dat
     return embeddings.where("vec_id is not null").select("vec_id", "label", cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(top)
 
 
+def vector_topk_all(embeddings: DataFrame, every: int = 20, top: int = 10, block: int = 64) -> DataFrame:
+    """``query_id, vec_id, score``: the nearest vectors of each whose id is divisible by ``every``, itself among them.
+
+    Queries come in blocks of ``block``, each compared with every vector of its size in one product per batch.  A task keeps
+    the best ``top`` of a query, so at most ``top`` rows per query and task are shuffled; equals go to the smallest id.
+    Null and repeated queries give no further rows; other sizes and zero norms score 0.
+    """
+    rows = embeddings.where("vec_id is not null").select("vec_id", "embedding")
+    asked = rows.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    blocks = asked.groupBy(F.floor(F.col("vec_id") / (every * block)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best: dict[int, list[tuple[float, int]]] = {}
+            for ids, vectors, queries in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for size in {len(q["embedding"]) for q in queries}:
+                    some = [q for q in queries if len(q["embedding"]) == size]
+                    matrix = np.array([v if v is not None and len(v) == size else [0.0] * size for v in vectors], np.float64).reshape(len(vectors), size)
+                    asks = np.array([q["embedding"] for q in some], np.float64).reshape(len(some), size)
+                    norms = np.outer(np.sqrt((asks * asks).sum(1)), np.sqrt((matrix * matrix).sum(1)))
+                    dots = asks @ matrix.T
+                    scores = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+                    for q, s in zip(some, scores.tolist(), strict=True):
+                        best[q["vec_id"]] = heapq.nsmallest(top, best.get(q["vec_id"], []) + [(-x, v) for x, v in zip(s, ids, strict=True)])
+            out = [(q, v, -x) for q, found in best.items() for x, v in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    chunk = F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.floor(F.lit(rows.count()) / 1024))).alias("chunk")
+    chunks_of = rows.groupBy(chunk).agg(F.collect_list(F.struct("vec_id", F.col("embedding"))).alias("vs"))
+    met = chunks_of.select(F.col("vs.vec_id").alias("ids"), F.col("vs.embedding").alias("vectors")).crossJoin(blocks.select("queries"))
+    found = met.mapInArrow(scored, "query_id long, vec_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).select("query_id", "vec_id", "score")
+
+
 def vector_stats(embeddings: DataFrame) -> DataFrame:
     return embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("least_dim"), F.max(F.size("embedding")).alias("most_dim"))
 

@@ -96,6 +96,7 @@ QUERIES = {
     "event_sessions": lambda s, d: reports.sessions(_ev(s, d)),
     "retro": lambda s, d: reports.retro(_ev(s, d)),
     "vector_topk": _vector_query,
+    "vector_topk_all": lambda s, d: reports.vector_topk_all(table(s, d, "embeddings")),
     "vector_stats": lambda s, d: reports.vector_stats(table(s, d, "embeddings")),
     "embedding_changes": _changed,
 }
