@@ -56,11 +56,11 @@ def time_travel(snapshots: DataFrame, day: str, query: str) -> DataFrame:
 
 
 def recall(docs: DataFrame, query: str, top_k: int = 20, min_score: float = 0.01) -> DataFrame:
-    """``doc_id, score``: Jaccard overlap of a record's first line and the query; newest first among equals."""
+    """``doc_id, score``: Jaccard overlap of a record's whole text and the query; newest first among equals."""
     q = F.array(*[F.lit(t) for t in dict.fromkeys(tokens_of(query))])
-    first = F.array_distinct(tokens(F.substring("content", 1, 400)))
-    union = F.size(F.array_union(first, q))
-    rows = docs.select("doc_id", "mtime", (F.size(F.array_intersect(first, q)) / union).alias("score")).where(F.col("score") >= min_score)
+    words = F.array_distinct(tokens(F.col("content")))
+    union = F.size(F.array_union(words, q))
+    rows = docs.select("doc_id", "mtime", (F.size(F.array_intersect(words, q)) / union).alias("score")).where(F.col("score") >= min_score)
     return rows.orderBy(F.desc("score"), F.desc("mtime"), "doc_id").limit(top_k).select("doc_id", "score")
 
 

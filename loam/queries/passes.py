@@ -69,7 +69,8 @@ QUERIES = {
     "three_pass_search": _three,
     "hybrid_search": _hybrid,
     "time_travel": _travel,
-    "experience_recall": lambda s, d: multipass.recall(_d(s, d), "storage quota review meeting"),
+    "experience_recall": lambda s, d: multipass.recall(_d(s, d).withColumn("content", F.substring("content", 1, 400)), "storage quota review meeting"),
+    "experience_recall_whole": lambda s, d: multipass.recall(_d(s, d), "storage quota review meeting"),
     "prompt_evidence": lambda s, d: multipass.evidence(_d(s, d), "storage quota review", AS_OF),
     "session_blocks": lambda s, d: multipass.session_blocks(multipass.turns(_d(s, d))),
     "related_incidents": lambda s, d: multipass.related(reports.incidents(table(s, d, "events"))),
