@@ -8,6 +8,7 @@ from loam.llm.dress import copy_histogram, dressed_copies
 from loam.llm.mixing import mix_sources, share_report, sized_documents
 from loam.llm.names import linked_names
 from loam.llm.residue import fit, residue_documents, residue_scores
+from loam.session import cut
 from loam.sources.tables import spread, table
 
 
@@ -31,12 +32,17 @@ def p8_ids(spark, d):
     return encode_documents(spread(table(spark, d, "documents", "doc_id", "text")))
 
 
+def _sized(spark, d):
+    return sized_documents(spread(table(spark, d, "documents", "doc_id", "source", "text")))
+
+
 def p9_selection(spark, d):
-    return mix_sources(sized_documents(spread(table(spark, d, "documents", "doc_id", "source", "text"))), table(spark, d, "mix_targets"))
+    return mix_sources(_sized(spark, d), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark, d):
-    return share_report(p9_selection(spark, d), table(spark, d, "mix_targets"))
+    sized, targets = cut(_sized(spark, d)), table(spark, d, "mix_targets")
+    return share_report(mix_sources(sized, targets), targets, sized)
 
 
 def p10_found(spark, d):

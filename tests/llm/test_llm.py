@@ -11,7 +11,7 @@ from loam.llm.bpe import TOKENIZERS, count_tokens, encode_documents
 from loam.llm.components import alias_groups, components
 from loam.llm.dress import dressed_copies
 from loam.llm.folding import canonical, fold_hash, same_folded
-from loam.llm.mixing import Network, allot, largest_total, mix_sources, share_report, sized_documents
+from loam.llm.mixing import BROADCAST_ROWS, allot, largest_total, mix_sources, quotas_of, route, share_report, sized_documents
 from loam.llm.names import edit_distance, linked_names, words_of
 from loam.llm.residue import clean_documents, fit, residue_documents, verdict
 from tests.brute import SYMMETRIC, fold
@@ -163,11 +163,61 @@ def test_tokens_equal_the_public_library(data, spark):
     assert encode_documents(docs.limit(0)).collect() == []
 
 
-def test_flow_finds_the_cheapest_way():
-    net = Network()
-    a, b = net.arc(0, 2, 5, 1), net.arc(0, 3, 5, 3)
-    net.arc(2, 1, 3), net.arc(3, 1, 9), net.arc(2, 3, 9)
-    assert net.run(0, 1) == 10 and net.flow(a) == 5 and net.flow(b) == 5
+def brute_route(patterns, quotas, repeats):
+    """Flow and cost by one token at a time along a cheapest way (Bellman-Ford)."""
+    names, sources = list(patterns), list(quotas)
+    used, given, got = dict.fromkeys(names, 0), defaultdict(int), dict.fromkeys(sources, 0)
+    cost = 0
+    while True:
+        far = {("p", p): used[p] // patterns[p] for p in names if used[p] < patterns[p] * sum(repeats[s] for s in p if s in quotas)}
+        via = {}
+        for _ in range(2 * (len(names) + len(sources))):
+            for p in names:
+                for s in sources:
+                    if s in p and given[p, s] < patterns[p] * repeats[s] and far.get(("p", p), 1e9) < far.get(("s", s), 1e9):
+                        far["s", s], via["s", s] = far["p", p], ("p", p)
+                    if given[p, s] and far.get(("s", s), 1e9) < far.get(("p", p), 1e9):
+                        far["p", p], via["p", p] = far["s", s], ("s", s)
+        ends = [(far["s", s], s) for s in sources if got[s] < quotas[s] and ("s", s) in far]
+        if not ends:
+            return sum(got.values()), cost
+        c, s = min(ends)
+        cost, at = cost + c, ("s", s)
+        got[s] += 1
+        while at in via:
+            before = via[at]
+            if at[0] == "s":
+                given[before[1], at[1]] += 1
+            else:
+                given[at[1], before[1]] -= 1
+            at = before
+        used[at[1]] += 1
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_is_as_cheap_as_one_token_at_a_time(seed):
+    rng = random.Random(seed)
+    sources = "abcd"[: rng.randint(2, 4)]
+    patterns = {tuple(p): rng.randint(1, 9) for p in {"".join(sorted(rng.sample(sources, rng.randint(1, len(sources))))) for _ in range(5)}}
+    repeats = {s: rng.randint(1, 3) for s in sources}
+    quotas = {s: rng.randint(0, 25) for s in sources}
+    flow = route(patterns, quotas, repeats)
+    used = defaultdict(int)
+    for (p, s), t in flow.items():
+        assert s in p and 0 < t <= patterns[p] * repeats[s]
+        used[p] += t
+    assert all(sum(t for (_, x), t in flow.items() if x == s) <= q for s, q in quotas.items())
+    cost = sum(sum(i // patterns[p] for i in range(n)) for p, n in used.items())
+    assert (sum(flow.values()), cost) == brute_route(patterns, quotas, repeats)
+
+
+def test_many_patterns_are_routed_at_a_time():
+    rng = random.Random(3)
+    sources = [f"s{i}" for i in range(17)]
+    patterns = {tuple(s for j, s in enumerate(sources) if i >> j & 1): rng.randint(1, 1000) for i in range(1, 1 << 17, 2)}
+    weights, repeats = dict.fromkeys(sources, 1.0), dict.fromkeys(sources, 2)
+    total = largest_total(patterns, weights, repeats)
+    assert sum(route(patterns, quotas_of(total, weights), repeats).values()) == total
 
 
 def test_overlapping_sources_reach_their_shares():
@@ -190,8 +240,13 @@ def test_mix(data, spark, target_rows):
     rows = [r.asDict() for r in picked.collect()]
     caps = {(t["mix"], t["source"]): t["max_repeats"] for t in f["mix_targets"].collect()}
     assert len({(r["mix"], r["source"], r["doc_id"]) for r in rows}) == len(rows) and all(r["copies"] <= caps[r["mix"], r["source"]] for r in rows)
-    report = {(r["mix"], r["source"]): r for r in share_report(picked, f["mix_targets"]).collect()}
+    report = {(r["mix"], r["source"]): r for r in share_report(picked, f["mix_targets"], sized).collect()}
     assert len(report) == 20 and report["talk", "transcripts"]["reached_share"] == 0
+    # an independent count of documents, copies and tokens, and of what there is
+    for (mix, source), r in report.items():
+        own = [x for x in rows if (x["mix"], x["source"]) == (mix, source)]
+        assert (r["n_docs"], r["n_copies"], r["n_tokens"]) == (len(own), sum(x["copies"] for x in own), sum(x["copies"] * x["n_tokens"] for x in own))
+        assert r["available_tokens"] == caps[mix, source] * sum(x["n_tokens"] for x in sized.collect() if source in x["pattern"].split("\x1f")) >= r["n_tokens"]
     largest = max(x["n_tokens"] for x in sized.collect())
     for (mix, source), r in report.items():
         if source != "transcripts":
@@ -203,6 +258,14 @@ def test_mix(data, spark, target_rows):
     assert mix_sources(sized.limit(0), f["mix_targets"]).collect() == []
 
 
+def test_mix_with_a_plan_too_large_to_broadcast(data, spark, monkeypatch):
+    f, _ = data
+    sized = sized_documents(f["documents"])
+    want = {tuple(r) for r in mix_sources(sized, f["mix_targets"]).collect()}
+    monkeypatch.setattr("loam.llm.mixing.BROADCAST_ROWS", 0)
+    assert BROADCAST_ROWS > 0 and {tuple(r) for r in mix_sources(sized, f["mix_targets"]).collect()} == want
+
+
 NOTES = ["# Ann Lee\n\nThe team archived the budget in Oslo.\n\n- **2021-02-0%d** | We agreed to look again. [Source: Bo]", "Page not found was the most frequent complaint, says Ann %d.\nWe priced the office move.",
          "The greeting `{{name}}` in the mail template was replaced, so Ann closed ticket %d.\nNobody on the call moved the tide model.", "Ann asked whether the viewer still needs JavaScript; Bo says no, %d times."]
 RESIDUE = ["Error 404\nThe page you asked for could not be found.\nRequest id 99871%d", "Please enable JavaScript to read this note.\nScripts are blocked here %d.", "Dear {{name}},\nThank you, [INSERT CITY]\nby %%date%% and <Owner> %d", "Lorem ipsum dolor amet lorem velim ipsum %d"]
