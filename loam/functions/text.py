@@ -7,11 +7,41 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 
-#: Korean particles, longest first.
-PARTICLES = ["에서", "에게", "으로", "이랑", "부터", "까지", "처럼", "보다", "은", "는", "이", "가", "을", "를", "의", "에", "로", "와", "과", "도", "만"]
+#: Korean particles, the first that fits is dropped.
+PARTICLES = [
+    "이라서", "한테서", "에게서", "으로서", "이라고",
+    "에서", "한테", "에게", "으로", "로서", "이라", "라서", "이랑", "라고",
+    "까지", "부터", "처럼", "보다", "마다", "밖에", "대로", "이나", "라도",
+    "와", "과", "도", "만", "은", "는", "이", "가", "을", "를", "의", "에", "로",
+]
 
 #: Words without weight in keyword variants.
-STOP = "the a an and or but is are was were be been of in on at to for with by from as that this these those it its what which who whom whose when where why how do does did has have had can could will would should about into than then there their they you your our we i me my".split()
+STOP = {
+    "how", "what", "when", "where", "which", "who", "why", "whom", "whose",
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being",
+    "do", "did", "does", "doing", "done",
+    "have", "had", "has", "having",
+    "i", "my", "me", "mine", "myself",
+    "you", "your", "yours", "yourself", "yourselves",
+    "we", "our", "ours", "ourselves",
+    "they", "their", "theirs", "them", "themselves",
+    "he", "she", "his", "her", "hers", "him", "it", "its",
+    "this", "that", "these", "those",
+    "to", "of", "in", "on", "at", "for", "with", "about", "from", "by",
+    "as", "if", "or", "and", "but", "not", "no", "yes",
+    "can", "could", "would", "will", "should", "may", "might", "must", "shall",
+    "there", "here", "then", "than", "so", "too", "very", "much", "many",
+    "some", "any", "all", "every", "each", "few", "more", "most", "other",
+    "ago", "since", "before", "after", "during", "while", "until", "till",
+    "regularly", "currently", "recently", "often", "still", "already",
+    "remind", "tell", "remember", "know", "knew", "think", "thought",
+    "please", "also", "just", "now", "only", "ever", "never",
+    "last", "first", "next", "previous",
+    "이", "가", "은", "는", "을", "를", "의", "에", "에서", "로", "으로",
+    "와", "과", "도", "만", "까지", "부터", "에게", "한테",
+    "했다", "한다", "해요", "합니다", "입니다", "있다", "없다", "같다",
+    "그리고", "그러나", "그런데", "하지만", "또한", "또는", "혹은",
+}
 
 
 def tokens(text: Column) -> Column:
@@ -19,6 +49,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda t: F.length(t) > 1)
 
 
+def run_lengths(words: Column) -> Column:
+    """Map of each distinct word of an array to the number of times it is there, counted within the row: runs of the
+    sorted words."""
+
+    def runs(w: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return F.when(F.size(w) > 0, F.transform(F.array(begins), lambda at: counts(w, at))[0]).otherwise(F.array().cast("array<struct<w: string, n: int>>"))
+
+    def counts(w: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("w"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).alias("n")))
+
+    # an array of one binds its element, which is then computed once
+    return F.map_from_entries(F.transform(F.array(F.sort_array(words)), runs)[0])
+
+
 def tokens_of(query: str) -> list[str]:
     """``tokens`` of a driver-side string."""
     import regex
@@ -75,8 +120,25 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r\f]+"), lambda w: w != "")
 
 
-def chunk_size(n_words: Column) -> Column:
-    return F.when(n_words < 500, 128).when(n_words <= 2000, 256).otherwise(512)
+def chunk_size(n_chars: Column) -> Column:
+    """Words of a chunk by the number of characters of its document."""
+    return F.when(n_chars < 500, 128).when(n_chars <= 2000, 256).otherwise(512)
+
+
+def snippet(text: Column, terms: list[str], most: int = 200, phrase: str | None = None) -> Column:
+    """What a hit shows: the first line that holds ``phrase``, else that with most distinct terms (the first of equals),
+    with up to three lines on either side, stripped and joined; empty if no line has any."""
+    rows = lines(text)
+    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)]).cast("array<string>")
+    shared = F.transform(rows, lambda x, i: F.struct(F.size(F.array_intersect(tokens(x), wanted)).alias("n"), (-i).alias("back")))
+    best = F.array_max(shared)
+    at = F.when(best["n"] > 0, -best["back"])
+    if phrase is not None:
+        met = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("i"), F.lower(x).contains(phrase).alias("m"))), lambda x: x["m"])
+        at = F.coalesce(F.get(met, F.lit(0))["i"], at)
+    first = F.greatest(F.lit(0), at - 3)
+    near = F.filter(F.transform(F.slice(rows, first + 1, at + 4 - first), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.when(at.isNull(), "").otherwise(F.substring(F.array_join(near, " | "), 1, most))
 
 
 def chunks(text: Column, size: Column, overlap: int) -> Column:

@@ -1,25 +1,32 @@
 """Lexical retrieval: BM25, the composite scorer and its query-expanding, gated and time-aware forms.
 
 A query's words are counted per document with array functions, so scoring needs one aggregate of a row (document
-frequencies) and one scan; term tables are never shuffled.
+frequencies) and one scan, however many queries are asked together; term tables are never shuffled.  Texts never travel:
+what is ranked are ids and scores, and the texts of the few best documents are read again by their ids.  For a corpus
+that is asked often, ``write_postings`` keeps term frequencies by hash of the term, and a query reads its terms only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.functions.text import cents, lines, tokens, tokens_of
+from loam.functions.text import cents, keyword_variants, lines, run_lengths, tokens, tokens_of
+from loam.session import cut
 
 K1, B = 1.5, 0.75
+POSTING_BUCKETS = 256
+#: Tables of ``write_postings``; an empty corpus leaves no file that would tell them.
+POSTINGS = {"postings": "doc_id long, dl int, term string, tf int, bucket int", "terms": "term string, df long, bucket int"}
 
 
 def corpus(documents: DataFrame) -> DataFrame:
-    """Canonical view: ``doc_id, path, dir, stem, content, mtime``; null text is empty, null source ``base``."""
+    """Canonical view: ``doc_id, path, dir, stem, content, mtime, entity``; null text is empty, null source ``base``."""
     return documents.select(
         "doc_id",
         "path",
@@ -27,6 +34,7 @@ def corpus(documents: DataFrame) -> DataFrame:
         F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "").alias("stem"),
         F.coalesce("text", F.lit("")).alias("content"),
         "mtime",
+        "entity",
     )
 
 
@@ -36,30 +44,32 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
-    """Per term: documents that hold it and its occurrences; combined per task before the shuffle."""
-    per_doc = docs.select(F.explode(tokens(F.col("content"))).alias("term"), "doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Per term: documents that hold it and its occurrences; counted in the row, then one combined shuffle by term."""
+    per_doc = docs.select(F.explode(run_lengths(tokens(F.col("content")))).alias("term", "tf"))
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
-def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Add ``dl`` (tokens of the document) and ``tf0``, ``tf1`` ... (occurrences of each term).
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row: the optimizer copies no expression out of a generator, as it does when
+    it moves a filter below a projection."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def counted(docs: DataFrame, terms: Sequence[str], within: Sequence[str] | None = None) -> DataFrame:
+    """Add ``_low`` and ``_name`` (text and file name in lower case), ``dl`` (tokens of the document) and ``tf0``, ``tf1``
+    ... (occurrences of each term); with ``within`` only documents that have the letters of one of these in text or name.
 
     Tokens are the runs of two or more word characters, so they are counted by a pattern and never materialised; a
     term's occurrences are only counted in documents that contain its letters.
     """
-    rows = docs.withColumn("_low", F.lower(F.coalesce("content", F.lit(""))))
+    rows = once(docs, _low=F.lower(F.coalesce("content", F.lit(""))), _name=F.lower(F.translate("stem", "-", " ")))
+    if within is not None:
+        met = F.lit(False)
+        for t in dict.fromkeys(within):
+            met = met | F.col("_low").contains(t) | F.col("_name").contains(t)
+        rows = rows.where(met)
     of = lambda t: F.when(F.col("_low").contains(t), F.regexp_count("_low", F.lit(rf"(?<![\p{{L}}\p{{N}}_])\Q{t}\E(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
-    counts = {f"tf{i}": of(t) for i, t in enumerate(terms)} | {"dl": F.regexp_count("_low", F.lit(r"[\p{L}\p{N}_]{2,}"))}
-    return rows.withColumns(counts).drop("_low")
-
-
-def matching(docs: DataFrame, query: str, terms: list[str]) -> DataFrame:
-    """Documents that contain the letters of a term or of the query; a cheap filter before any pattern runs."""
-    low, name = F.lower("content"), F.lower(F.translate("stem", "-", " "))
-    met = F.lit(False)
-    for t in dict.fromkeys([*terms, query]):
-        met = met | low.contains(t) | name.contains(t)
-    return docs.where(met)
+    return once(rows, dl=F.regexp_count("_low", F.lit(r"[\p{L}\p{N}_]{2,}")), **{f"tf{i}": of(t) for i, t in enumerate(terms)})
 
 
 def frequencies(rows: DataFrame, terms: list[str]) -> dict:
@@ -70,18 +80,24 @@ def frequencies(rows: DataFrame, terms: list[str]) -> dict:
     return {"n": n, "avgdl": (r["dl"] or 0) / max(n, 1) or 1.0, "df": [r[f"df{i}"] or 0 for i in range(len(terms))]}
 
 
-def _in_stem(term: str) -> Column:
-    return F.lower(F.translate("stem", "-", " ")).contains(term)
+def in_name(term: str) -> Column:
+    """Whether the file name has the term as a word."""
+    return F.col("_name").rlike(rf"(?<![\p{{L}}\p{{N}}_])\Q{term}\E(?![\p{{L}}\p{{N}}_])")
 
 
-def bm25(stats: dict, terms: list[str], names: bool = True) -> Column:
-    """Okapi BM25 (k1 = 1.5, b = 0.75); with ``names`` a term that is only in the file name counts once."""
+def bm25(stats: dict, terms: Sequence[str], names: bool = True, only: Sequence[str] | None = None) -> Column:
+    """Okapi BM25 (k1 = 1.5, b = 0.75); with ``names`` a term that is only in the file name counts once.
+
+    ``terms`` are those that were counted; with ``only`` some of them are scored.
+    """
     total = F.lit(0.0)
     for i, t in enumerate(terms):
+        if only is not None and t not in only:
+            continue
         idf = F.log(F.lit((stats["n"] - stats["df"][i] + 0.5) / (stats["df"][i] + 0.5) + 1.0))
         tf = F.col(f"tf{i}")
         if names:
-            tf = F.when((tf == 0) & _in_stem(t), 1).otherwise(tf)
+            tf = F.when((tf == 0) & in_name(t), 1).otherwise(tf)
         tf = tf.cast("double")
         score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / stats["avgdl"]))
         total = total + F.when(tf > 0, score).otherwise(0.0)
@@ -92,11 +108,51 @@ def bm25_topk(docs: DataFrame, query: str, top_k: int = 20) -> DataFrame:
     """``doc_id, score`` of the best documents by plain BM25; ties by ``doc_id``.  No terms, no rows."""
     terms = list(dict.fromkeys(tokens_of(query)))
     stats = frequencies(counted(docs, terms), terms)
-    rows = counted(matching(docs, query.lower(), terms), terms)
-    scored = rows.select("doc_id", bm25(stats, terms, names=False).alias("score"))
+    scored = once(counted(docs, terms, [*terms, query.lower()]), score=bm25(stats, terms, names=False)).select("doc_id", "score")
     return scored.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(top_k)
 
 
+def bucket_of(term: Column, buckets: int = POSTING_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(docs: DataFrame, folder: str, buckets: int = POSTING_BUCKETS) -> None:
+    """Write ``postings`` (``term, doc_id, tf, dl``, partitioned by hash of the term), ``terms`` (``term, df``, the same)
+    and ``totals`` (``n, dl``) below ``folder``.
+
+    A row is counted in itself, so the one shuffle is that of the rows to the folders of their terms; a term that every
+    document holds is spread over several files (``part``), so no task gets all of a hot term.
+    """
+    rows = docs.select("doc_id", F.regexp_count(F.lower("content"), F.lit(r"[\p{L}\p{N}_]{2,}")).alias("dl"), F.explode(run_lengths(tokens(F.col("content")))).alias("term", "tf"))
+    placed = rows.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    ordered = placed.repartition("bucket", "part").sortWithinPartitions("bucket", "term", "doc_id").drop("part")
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    kept = docs.sparkSession.read.schema(POSTINGS["postings"]).parquet(f"{folder}/postings")
+    df = kept.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+    df.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
+    totals = docs.select(F.regexp_count(F.lower("content"), F.lit(r"[\p{L}\p{N}_]{2,}")).alias("dl"))
+    totals.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).write.mode("overwrite").parquet(f"{folder}/totals")
+
+
+def bm25_postings(spark: SparkSession, folder: str, query: str, top_k: int = 20, buckets: int = POSTING_BUCKETS) -> DataFrame:
+    """``bm25_topk`` from written postings: only the folders of the query's terms are read, and no text."""
+    terms = list(dict.fromkeys(tokens_of(query)))
+    if not terms:
+        return spark.createDataFrame([], "doc_id long, score double")
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    at = [r["b"] for r in asked.select(bucket_of(F.col("term"), buckets).alias("b")).distinct().collect()]
+    own = lambda name: spark.read.schema(POSTINGS[name]).parquet(f"{folder}/{name}").where(F.col("bucket").isin(at) & F.col("term").isin(terms))
+    total = spark.read.parquet(f"{folder}/totals").first()
+    df = {r["term"]: r["df"] for r in own("terms").collect()}
+    n, avgdl = total["n"], (total["dl"] or 0) / max(total["n"], 1) or 1.0
+    idf = F.lit(0.0)
+    for t in terms:
+        idf = F.when(F.col("term") == t, math.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5) + 1.0)).otherwise(idf)
+    tf = F.col("tf").cast("double")
+    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return own("postings").groupBy("doc_id").agg(F.sum(score).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(top_k)
+
+
 def expand_aliases(query: str, aliases: DataFrame) -> list[str]:
     """Query tokens, then canonicals and further aliases of each token and of the whole phrase, in order."""
     words = tokens_of(query)
@@ -106,92 +162,136 @@ def expand_aliases(query: str, aliases: DataFrame) -> list[str]:
     return list(dict.fromkeys(words + [t for c in extra for t in tokens_of(c)]))
 
 
-def composite(docs: DataFrame, query: str, as_of: str, terms: list[str] | None = None, fuzzy: bool = False) -> DataFrame:
-    """Composite score of every document that matches: ``doc_id, stem, dir, content, mtime, score, exact``.
+def _headed(query: str) -> Column:
+    return F.exists(lines(F.col("_low")), lambda x: x.startswith("#") & x.contains(query))
+
+
+def scores(docs: DataFrame, queries: Sequence[str], as_of: str, fuzzy: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Composite score of every document that matches a query: ``q`` (the query's place), ``doc_id, stem, score`` and the
+    columns of ``keep``.
 
     Signals: the whole query in the body (1.0) or the file name (0.8); overlap weighted by unlogged idf; BM25
     scaled to 1; query bigrams, a heading that holds the query, recent dates, and with ``fuzzy`` the best
-    similarity of a line.  Of documents with one stem the best counts (ties: smallest ``doc_id``).
+    similarity of a line or the name.  Of documents with one stem the best counts (ties: smallest ``doc_id``).
+    All queries are scored in one scan, behind one aggregate of a row; ids and scores are combined before the shuffle.
     """
-    q = query.strip().lower()
-    terms = terms if terms is not None else list(dict.fromkeys(tokens_of(query)))
+    asked = [q.strip().lower() for q in queries]
+    own = [list(dict.fromkeys(tokens_of(q))) for q in queries]
+    terms = list(dict.fromkeys(t for x in own for t in x))
     stats = frequencies(counted(docs, terms), terms)
-    rows = counted(docs if fuzzy else matching(docs, q, terms), terms).withColumns({"_low": F.lower("content"), "_name": F.lower(F.translate("stem", "-", " "))})
     n = stats["n"]
-    exact = F.when(F.col("_low").contains(q), 1.0).when(F.col("_name").contains(q), 0.8).otherwise(0.0)
-    weight = [max(0.1, (n - (df or 1) + 0.5) / ((df or 1) + 0.5)) for df in stats["df"]]
-    met = sum((F.when((F.col(f"tf{i}") > 0) | F.col("_name").contains(t), F.lit(weight[i])).otherwise(0.0) for i, t in enumerate(terms)), F.lit(0.0))
-    token = met / F.lit(sum(weight) or 1.0)
-    most = sum(math.log((n - df + 0.5) / (df + 0.5) + 1.0) for df in stats["df"]) * (K1 + 1)
-    scaled = F.least(F.lit(1.0), bm25(stats, terms) / F.lit(most or 1.0))
-    words = tokens_of(query)
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    phrase = sum((F.col("_low").contains(p).cast("double") for p in pairs), F.lit(0.0)) * F.lit(0.15 / max(len(pairs), 1))
-    heading = F.when(F.exists(lines(F.col("_low")), lambda x: x.startswith("#") & x.contains(q)), 0.1).otherwise(0.0) if words else F.lit(0.0)
+    df_of = dict(zip(terms, stats["df"], strict=True))
+    rows = counted(docs, terms, None if fuzzy else [*terms, *asked])
     dates = F.regexp_extract_all("content", F.lit(r"\*\*(\d{4}-\d{2}-\d{2})\*\*"), F.lit(1))
     age = F.datediff(F.lit(as_of).cast("date"), F.array_max(dates).try_cast("date"))
-    recency = F.when(age < 7, 0.05).when(age < 30, 0.02).otherwise(0.0)
-    like = _similarity("content", q) if fuzzy else F.lit(0.0)
-    scored = rows.select("doc_id", "stem", "dir", "content", "mtime", exact.alias("exact"), token.alias("token"), scaled.alias("bm25"), like.alias("fuzzy"), (phrase + heading + recency).alias("bonus"))
-    base = F.when(F.col("exact") > 0, F.greatest("exact", F.least(F.lit(1.0), 0.55 * F.col("exact") + 0.25 * F.col("token") + 0.20 * F.col("bm25")))).otherwise(
-        F.least(F.lit(1.0), 0.45 * F.col("token") + 0.30 * F.col("bm25") + 0.25 * F.col("fuzzy"))
+    rows = rows.withColumn("_recency", F.when(age < 7, 0.05).when(age < 30, 0.02).otherwise(0.0))
+    if fuzzy:
+        rows = rows.withColumn("_like", similarity(asked)(F.col("content"), F.col("_name")))
+    told = []
+    for k, (q, words) in enumerate(zip(asked, own, strict=True)):
+        exact = F.when(F.col("_low").contains(q), 1.0).when(F.col("_name").contains(q), 0.8).otherwise(0.0)
+        weight = {t: max(0.1, (n - (df_of[t] or 1) + 0.5) / ((df_of[t] or 1) + 0.5)) for t in words}
+        has = {t: (F.col(f"tf{terms.index(t)}") > 0) | in_name(t) for t in words}
+        met = sum((F.when(has[t], F.lit(weight[t])).otherwise(0.0) for t in words), F.lit(0.0))
+        token = met / F.lit(sum(weight.values()) or 1.0)
+        most = sum(math.log((n - df_of[t] + 0.5) / (df_of[t] + 0.5) + 1.0) for t in words) * (K1 + 1)
+        scaled = F.least(F.lit(1.0), bm25(stats, terms, only=words) / F.lit(most or 1.0))
+        said = tokens_of(q)
+        pairs = [f"{a} {b}" for a, b in zip(said, said[1:], strict=False)]
+        phrase = sum((F.col("_low").contains(p).cast("double") for p in pairs), F.lit(0.0)) * F.lit(0.15 / max(len(pairs), 1))
+        heading = F.when(_headed(q), 0.1).otherwise(0.0) if said else F.lit(0.0)
+        like = F.get(F.col("_like"), F.lit(k)) if fuzzy else F.lit(0.0)
+        signals = {"exact": exact, "token": token, "bm25": scaled, "fuzzy": like, "bonus": phrase + heading + F.col("_recency")}
+        told.append(F.struct(F.lit(k).alias("q"), *[v.alias(c) for c, v in signals.items()]))
+    x = F.col
+    base = F.when(x("exact") > 0, F.greatest("exact", F.least(F.lit(1.0), 0.55 * x("exact") + 0.25 * x("token") + 0.20 * x("bm25")))).otherwise(
+        F.least(F.lit(1.0), 0.45 * x("token") + 0.30 * x("bm25") + 0.25 * x("fuzzy"))
     )
-    hit = (F.col("exact") > 0) | (F.col("token") > 0) | (F.col("bm25") > 0) | (F.col("fuzzy") >= 0.3)
-    hits = scored.withColumns({"score": cents(F.least(F.lit(1.0), base + F.col("bonus"))), "_hit": hit}).drop("bonus", "token", "bm25")
-    # the hit is tested behind the window: before it, the optimizer would evaluate all signals twice
-    best = Window.partitionBy("stem").orderBy(F.desc("_hit"), F.desc("score"), "doc_id")
-    return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1 and _hit").drop("_r", "_hit")
+    hit = (x("exact") > 0) | (x("token") > 0) | (x("bm25") > 0) | (x("fuzzy") >= 0.3)
+    # the array is a generator's input, so each signal is computed once and the test of the hit stays behind it
+    hits = rows.select("doc_id", "stem", *keep, F.inline(F.array(*told))).where(hit)
+    hits = hits.select("q", "doc_id", "stem", *keep, cents(F.least(F.lit(1.0), base + x("bonus"))).alias("score"))
+    best = hits.groupBy("q", "stem").agg(F.max(F.struct("score", (-x("doc_id")).alias("back"), *keep)).alias("b"))
+    return best.select("q", (-x("b.back")).alias("doc_id"), "stem", *[f"b.{c}" for c in keep], "b.score")
+
+
+def composite(docs: DataFrame, query: str, as_of: str, fuzzy: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """``scores`` of one query: ``doc_id, stem, score`` and the columns of ``keep``."""
+    return scores(docs, [query], as_of, fuzzy, keep).drop("q")
 
 
-def _similarity(column: str, query: str) -> Column:
-    """Largest difflib ratio of the query and a line; whole texts, Arrow-vectorised."""
-    @F.arrow_udf(T.DoubleType())
-    def ratio(texts: pa.Array) -> pa.Array:
+def similarity(queries: Sequence[str]):
+    """Per query the largest difflib ratio of the query and a stripped line or the file name, in that order of operands;
+    whole texts, Arrow-vectorised.
+
+    A line is compared only if the characters it shares with the query could beat the best ratio so far, which is exact.
+    """
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def ratio(texts: pa.Array, names: pa.Array) -> pa.Array:
+        from collections import Counter
         from difflib import SequenceMatcher
 
+        asked = [(q, Counter(q)) for q in queries]
         out = []
-        for t in texts.to_pylist():
-            m = SequenceMatcher(autojunk=True)
-            m.set_seq2(query)
-            best = 0.0
-            for line in (t or "").lower().split("\n"):
-                m.set_seq1(line)
-                if m.real_quick_ratio() > best and m.quick_ratio() > best:
-                    best = max(best, m.ratio())
+        for text, name in zip(texts.to_pylist(), names.to_pylist(), strict=True):
+            best = [0.0] * len(asked)
+            for line in [*(x.strip() for x in dict.fromkeys((text or "").lower().split("\n"))), name or ""]:
+                m = None
+                for k, (q, letters) in enumerate(asked):
+                    whole = len(q) + len(line)
+                    if not whole or 2 * min(len(q), len(line)) <= best[k] * whole or 2 * sum(min(n, line.count(c)) for c, n in letters.items()) <= best[k] * whole:
+                        continue
+                    m = m or SequenceMatcher(None, "", line)
+                    m.set_seq1(q)
+                    best[k] = max(best[k], m.ratio())
             out.append(best)
-        return pa.array(out)
+        return pa.array(out, pa.list_(pa.float64()))
 
-    return ratio(F.col(column))
+    return ratio
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def texts_of(docs: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
+    """``hits`` (a list that was cut to its top) with columns of their documents, read by their ids: the ids reach the
+    scan as a filter, and the list is small enough to be broadcast."""
+    kept = cut(hits)
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    return docs.where(F.col("doc_id").isin(ids)).select("doc_id", *columns).join(F.broadcast(kept), "doc_id")
+
+
 def search(docs: DataFrame, query: str, as_of: str, top_k: int = 20) -> DataFrame:
     return top(composite(docs, query, as_of).select("doc_id", "score"), top_k)
 
 
-def expanded(docs: DataFrame, query: str, as_of: str, top_k: int = 20) -> DataFrame:
-    """The query and its keyword variants; the best score of a document counts."""
-    from loam.functions.text import keyword_variants
+def search_lists(docs: DataFrame, queries: Sequence[str], as_of: str, top_k: int = 20) -> list[DataFrame]:
+    """The list of ``search`` for each query, all of one scan; the lists together are cut once, being small."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
+    rows = cut(scores(docs, queries, as_of).select("q", "doc_id", "score").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_k).drop("_r"))
+    return [rows.where(F.col("q") == k).select("doc_id", "score") for k in range(len(queries))]
+
 
-    hits = None
-    for q in [query, *keyword_variants(query)]:
-        part = composite(docs, q, as_of).select("doc_id", "score")
-        hits = part if hits is None else hits.unionByName(part)
+def expanded(docs: DataFrame, query: str, as_of: str, top_k: int = 20, fuzzy: bool = False) -> DataFrame:
+    """The query and its keyword variants, scored in one scan; the best score of a document counts."""
+    hits = scores(docs, [query, *keyword_variants(query)], as_of, fuzzy)
     return top(hits.groupBy("doc_id").agg(F.max("score").alias("score")), top_k)
 
 
 def ranked(docs: DataFrame, query: str, as_of: str, top_k: int = 20, floor: float = 0.5) -> DataFrame:
     """A floor that only applies if at least one document clears it."""
+    from pyspark.sql import Window
+
     hits = search(docs, query, as_of, top_k)
     return hits.withColumn("_best", F.max("score").over(Window.partitionBy())).where((F.col("score") >= floor) | (F.col("_best") < floor)).drop("_best")
 
 
 def precise(docs: DataFrame, query: str, as_of: str, top_k: int = 5, threshold: float = 0.1) -> DataFrame:
     """Plain hits above the threshold; only if there are none, fuzzy hits above half of it."""
-    plain = search(docs, query, as_of, top_k).where(F.col("score") >= threshold)
+    plain = cut(search(docs, query, as_of, top_k).where(F.col("score") >= threshold))
     if plain.limit(1).count():
         return plain
     fuzzy = top(composite(docs, query, as_of, fuzzy=True).select("doc_id", "score"), top_k)
@@ -200,7 +300,7 @@ def precise(docs: DataFrame, query: str, as_of: str, top_k: int = 5, threshold:
 
 def temporal(docs: DataFrame, query: str, as_of: str, hint: str, top_k: int = 20, window_days: int = 30) -> DataFrame:
     """Over-fetch twice ``top_k``, add 0.15 for the very date or up to 0.10 for the nearest date in the window."""
-    hits = top(composite(docs, query, as_of).select("doc_id", "content", "score"), 2 * top_k)
+    hits = texts_of(docs, search(docs, query, as_of, 2 * top_k), "content")
     dates = F.transform(F.regexp_extract_all("content", F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0)), lambda d: d.try_cast("date"))
     gap = F.array_min(F.transform(F.filter(dates, lambda d: d.isNotNull()), lambda d: F.abs(F.datediff(d, F.lit(hint).cast("date")))))
     near = F.when(gap <= window_days, 0.10 * (1 - gap / window_days)).otherwise(0.0)
@@ -209,13 +309,16 @@ def temporal(docs: DataFrame, query: str, as_of: str, hint: str, top_k: int = 20
 
 
 def lookup(docs: DataFrame, query: str) -> DataFrame:
-    """``doc_id, dir, priority``: substring hits in directory order, ending with the first class of two hits or more."""
+    """``doc_id, dir, priority``: substring hits in directory order, ending with the first class of two hits or more.
+
+    The gate is the number of hits of the first class: a scan of its own that stops at the second one.
+    """
     q = query.lower()
     hits = docs.where(F.lower("content").contains(q) | F.lower(F.translate("stem", "-", " ")).contains(q))
     level = F.when(F.col("dir").isin("entities", "live-notes"), 1).when(F.col("dir").isin("decisions", "meetings", "runbooks"), 2).otherwise(3)
     found = hits.select("doc_id", "dir", level.alias("priority"))
-    high = F.sum(F.when(F.col("priority") == 1, 1).otherwise(0)).over(Window.partitionBy())
-    return found.withColumn("_h", high).where((F.col("priority") == 1) | (F.col("_h") < 2)).drop("_h")
+    first = found.where("priority = 1")
+    return first if first.limit(2).count() == 2 else found
 
 
 def gather(docs: DataFrame, recent: int, date: str, tag: str) -> DataFrame:

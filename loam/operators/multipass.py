@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loam.functions.text import tokens, tokens_of
 from loam.operators import facts, fusion, lexical
 from loam.operators.reports import cosine, vector_literal
+from loam.session import cut
 
 
 def three_pass(docs: DataFrame, edges: DataFrame, view: DataFrame, query: str, as_of: str, top_k: int = 20) -> DataFrame:
@@ -17,8 +18,8 @@ def three_pass(docs: DataFrame, edges: DataFrame, view: DataFrame, query: str, a
     in the neighbour's name.  Pass 3: facts of the same five, newest best.  Seeds are five rows, so their joins
     broadcast a fixed size.
     """
-    hits = lexical.top(lexical.composite(docs.drop("entity"), query, as_of).select("doc_id", "score"), 2 * top_k)
-    named = hits.join(docs.select("doc_id", "entity"), "doc_id").where("entity is not null")
+    hits = cut(lexical.top(lexical.composite(docs, query, as_of, keep=["entity"]), 2 * top_k))
+    named = hits.where("entity is not null")
     first = named.groupBy("entity").agg(F.max("score").alias("score"))
     seeds = first.orderBy(F.desc("score"), "entity").limit(5).select(F.col("entity").alias("seed"))
     near = edges.join(F.broadcast(seeds), F.col("from_id") == F.col("seed")).select(F.col("to_id").alias("entity"))
@@ -115,20 +116,19 @@ def persona_context(view: DataFrame, entity: str, day: str) -> DataFrame:
 def compound(docs: DataFrame, query: str, as_of: str, top_k: int = 20) -> DataFrame:
     """``doc_id, score``: a compound question by its parts, then one hop along the wiki links of the hits.
 
-    The parts' scores are merged by their maximum and cut to ``top_k``; documents about what those link to score 0.3
-    for each word of the question they hold and 0.5 for a whole part, 1.0 at most.  ``docs`` has ``entity``.
+    The parts are scored in one scan, merged by their maximum and cut to ``top_k``; documents about what those link to score 0.3
+    for each word of the question they hold and 0.5 for a whole part, 1.0 at most.
     """
     from loam.functions.text import links, subqueries
 
     parts = subqueries(query)
-    plain = docs.drop("entity")
-    first = fusion.maximum([lexical.search(plain, p, as_of, top_k) for p in parts]).orderBy(F.desc("score"), "doc_id").limit(top_k)
-    targets = docs.join(F.broadcast(first.select("doc_id")), "doc_id").select(F.explode(links(F.col("content"))).alias("entity")).distinct()
+    first = cut(lexical.top(fusion.maximum(lexical.search_lists(docs, parts, as_of, top_k)), top_k))
+    targets = lexical.texts_of(docs, first, "content").select(F.explode(links(F.col("content"))).alias("entity")).distinct()
     low = F.lower("content")
     words = sum((low.contains(w).cast("int") for w in dict.fromkeys(tokens_of(query))), F.lit(0))
     whole = F.lit(False)
     for p in parts:
         whole = whole | low.contains(p.lower())
     score = F.least(F.lit(1.0), 0.3 * words + F.when(whole, 0.5).otherwise(0.0))
-    hop = docs.join(targets, "entity", "left_semi").join(first.select("doc_id"), "doc_id", "left_anti").select("doc_id", score.alias("score")).where("score > 0")
+    hop = docs.join(targets, "entity", "left_semi").join(F.broadcast(first.select("doc_id")), "doc_id", "left_anti").select("doc_id", score.alias("score")).where("score > 0")
     return first.unionByName(hop).orderBy(F.desc("score"), "doc_id").limit(2 * top_k)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.functions.text import WORD, chunk_size, chunks, jaccard, lines, tokens, words_of
+from loam.functions.text import WORD, chunk_size, chunks, jaccard, lines, run_lengths, tokens, words_of
 from loam.plans.components import components
 from loam.session import cut
 
@@ -47,8 +47,9 @@ CATEGORIES = {
 }
 NEGATIVE = ["stopped", "quit", "gave up", "hate", "hated", "dislike", "disliked", "avoid", "avoided", "can't stand", "discourag", "stifl", "no longer", "not a fan", "didn't like", "don't like", "chaotic", "unproductive", "disappoint", "frustrat", "boring", "tired of", "fed up"]
 POSITIVE = ["love", "loved", "enjoy", "enjoyed", "excited", "thrilled", "passion", "inspired", "fulfill", "rewarding", "amazing", "wonderful", "great", "fantastic", "started", "began", "curated", "created", "organized", "launched", "explored", "learn", "discovered", "embrac"]
-PENDING = ["todo", "open question", "follow up", "pending", "ask ", "unsure", "remember that", "offen bleibt", "reste à savoir", "담당자가 누구인지"]
-DECIDED = ["agreed", "decided", "approved", "signed off", "bestätigte", "a approuvé", "승인했다"]
+#: Marks of what is open, and words of decisions (the Latin ones in lower case).
+PENDING = ["pending", "waiting", "대기", "필요", "블로커", "확인 필요", "TODO", "FIXME", "[ ]", "⏳", "미해결", "미완료"]
+DECIDED = ["decided", "decision", "chose", "agreed", "approved", "rejected", "postponed", "결정", "채택", "승인", "보류", "통일", "제한", "확정"]
 
 
 def hits(text: Column, cues: list[str]) -> Column:
@@ -92,18 +93,17 @@ def statements(docs: DataFrame) -> DataFrame:
 def keywords(docs: DataFrame, most: int = 10) -> DataFrame:
     """``doc_id, word, n, pos``: most frequent English words of a document; equals in alphabetical order.
 
-    The row-number limit works per document, whose size bounds the group.
+    A row holds all words of its document, so they are counted and ranked within it, without a shuffle.
     """
     words = F.filter(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(STOPS))
-    counts = docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
-    return counts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
+    best = F.slice(F.array_sort(F.transform(F.map_entries(run_lengths(words)), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("word")))), 1, most)
+    rows = docs.select("doc_id", F.posexplode(best).alias("pos", "b"))
+    return rows.select("doc_id", "b.word", (-F.col("b.less")).cast("long").alias("n"), (F.col("pos") + 1).alias("pos"))
 
 
 def chunked(docs: DataFrame, overlap: int = 50) -> DataFrame:
     """``doc_id, chunk_no, n_chars, hash`` of overlapping windows of a size that follows the document's."""
-    n = F.size(words_of(F.col("content")))
-    rows = docs.select("doc_id", F.posexplode(chunks(F.col("content"), chunk_size(n), overlap)).alias("chunk_no", "chunk"))
+    rows = docs.select("doc_id", F.posexplode(chunks(F.col("content"), chunk_size(F.length("content")), overlap)).alias("chunk_no", "chunk"))
     return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5(F.encode("chunk", "UTF-8")).alias("hash"))
 
 
@@ -133,10 +133,27 @@ def relations(docs: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-def marked_lines(docs: DataFrame, cues: list[str]) -> DataFrame:
-    """``doc_id, line_no`` of lines, headings apart, with one of the cues."""
-    rows = docs.select("doc_id", F.posexplode(lines(F.col("content"))).alias("line_no", "line"))
-    return rows.where(~F.col("line").startswith("#") & (hits(F.col("line"), cues) > 0)).select("doc_id", "line_no")
+def open_loops(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, day``: lines, headings apart, with a mark of what is open (in its very letters)."""
+    rows = docs.select("doc_id", F.date_format("mtime", "yyyy-MM-dd").alias("day"), F.posexplode(lines(F.col("content"))).alias("line_no", "line"))
+    met = F.lit(False)
+    for c in PENDING:
+        met = met | F.col("line").contains(c)
+    return rows.where(~F.trim("line").startswith("#") & met).select("doc_id", "line_no", "day")
+
+
+def decisions(docs: DataFrame, events: DataFrame) -> DataFrame:
+    """``source, key, line_no, importance``: candidates of decisions, of three kinds.
+
+    Events whose type or properties have a word of decisions; documents of the folder ``decisions`` that have one
+    (high); and lines, headings apart, of notes in no folder.
+    """
+    of = lambda c: hits(c, DECIDED) > 0
+    said = events.where(of(F.concat_ws(" ", "event_type", "props"))).select(F.lit("event").alias("source"), F.col("event_id").alias("key"), F.lit(0).alias("line_no"), F.lit("normal").alias("importance"))
+    kept = docs.where((F.col("dir") == "decisions") & of(F.col("content"))).select(F.lit("decision").alias("source"), F.col("doc_id").alias("key"), F.lit(0).alias("line_no"), F.lit("high").alias("importance"))
+    rows = docs.where("dir = 'base'").select(F.col("doc_id").alias("key"), F.posexplode(lines(F.col("content"))).alias("line_no", "line"))
+    noted = rows.where(~F.col("line").startswith("#") & of(F.col("line"))).select(F.lit("note").alias("source"), "key", "line_no", F.lit("normal").alias("importance"))
+    return said.unionByName(kept).unionByName(noted)
 
 
 def debug_hypotheses(docs: DataFrame) -> DataFrame:

@@ -16,8 +16,16 @@ from loam.session import cut
 
 #: Pairs of wordings that contradict each other.
 OPPOSED = [("is ", "is not "), ("is ", "isn't "), ("was ", "was not "), ("was ", "wasn't "), ("can ", "cannot "), ("can ", "can't "), ("will ", "will not "), ("will ", "won't "), ("이다", "아니다"), ("맞다", "틀리다"), ("맞다", "아니다"), ("true", "false"), ("yes", "no"), ("active", "inactive"), ("open", "closed"), ("joined", "left"), ("started", "stopped"), ("accepted", "rejected"), ("approved", "denied")]
-#: Patterns of named things; words that begin no name; endings of organizations.
-COMMON = "The This That And But For Not All Has Was Are Its Our Their From With Please Contact However While These Those Each Some Many Other Such Most Last New Old Next Here After Before Between Under Over Every About Also Just When Where Why How What Who Which More Much Very Well Still Even Back Down Only Then Than Both Into Like Made Come Could Would Should Will May Can Did Does Nobody Someone Open Ask Remember Confidence Nothing Meeting".split()
+#: Words that begin no name.
+COMMON = [
+    "The", "This", "That", "And", "But", "For", "Not", "All", "Has", "Was", "Are", "Its", "Our", "Their", "Yc", "From", "With", "Please", "Contact", "However",
+    "While", "These", "Those", "Each", "Some", "Many", "Other", "Such", "Most", "Last", "New", "Old", "Next", "Here", "After", "Before", "Between", "Under",
+    "Over", "Every", "About", "Also", "Just", "When", "Where", "Why", "How", "What", "Who", "Which", "More", "Much", "Very", "Well", "Still", "Even", "Back",
+    "Down", "Only", "Then", "Than", "Both", "Into", "Like", "Made", "Come", "Could", "Would", "Should", "Will", "May", "Can", "Did", "Does",
+]
+#: Further words that begin sentences of notes.
+OPENERS = ["Nobody", "Someone", "Open", "Ask", "Remember", "Confidence", "Nothing", "Meeting"]
+#: Patterns of named things.
 PERSON = r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}"
 ENTITY_PATTERNS = {
     "organization": r"(?:[A-Z][a-z]+ )+(?:Incorporated|Corporation|Limited|Company|GmbH|Partners|Brothers|Foundation|Institute|Holdings)",
@@ -25,7 +33,17 @@ ENTITY_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "url": r"https?://[A-Za-z0-9./?=_%&#-]+",
 }
-MODALITIES = {"image": "png jpg jpeg gif webp bmp svg", "audio": "mp3 wav m4a flac ogg", "video": "mp4 mov avi mkv webm", "code": "py js ts java go rs c cpp sh sql", "text": "md txt csv json yaml html pdf"}
+#: Endings of files by what they hold; any other is binary.
+MODALITIES = {
+    "image": ["jpg", "jpeg", "png", "gif", "webp", "bmp", "tiff", "heic", "svg"],
+    "audio": ["mp3", "wav", "m4a", "flac", "ogg", "aac", "opus"],
+    "video": ["mp4", "mov", "mkv", "avi", "webm"],
+    "code": [
+        "py", "js", "ts", "tsx", "jsx", "rs", "go", "java", "c", "cc", "cpp", "h", "hpp", "rb", "php", "swift", "kt", "scala", "sh", "bash", "zsh", "lua",
+        "pl", "r", "sql", "html", "css", "scss", "vue", "svelte", "dart", "ex", "exs", "clj", "hs", "toml", "yaml", "yml", "json", "xml", "ini", "cfg",
+    ],
+    "text": ["txt", "md", "rst", "log", "csv", "tsv"],
+}
 
 
 def detected(docs: DataFrame) -> DataFrame:
@@ -34,7 +52,7 @@ def detected(docs: DataFrame) -> DataFrame:
     for kind, p in {"person": PERSON, **ENTITY_PATTERNS}.items():
         part = docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(0)))).alias("name"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.where((F.col("kind") != "person") | ~F.split("name", " ")[0].isin(COMMON))
+    return rows.where((F.col("kind") != "person") | ~F.split("name", " ")[0].isin(COMMON + OPENERS))
 
 
 def opposing(old: Column, new: Column) -> Column:
@@ -141,7 +159,7 @@ def modality(path: Column) -> Column:
     """Kind of an attachment by its extension; ``binary`` if unknown."""
     ext, out = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), None
     for kind, known in MODALITIES.items():
-        out = F.when(ext.isin(known.split()), kind) if out is None else out.when(ext.isin(known.split()), kind)
+        out = F.when(ext.isin(known), kind) if out is None else out.when(ext.isin(known), kind)
     return out.otherwise("binary")
 
 

@@ -77,7 +77,7 @@ QUERIES = {
     "link_graph": _link_graph,
     "link_orphans": lambda s, d: graph.broken_links(_d(s, d), _pages(s, d)),
     "suggest_links": lambda s, d: graph.suggested_links(_d(s, d), _n(s, d)),
-    "cleanup_orphans": lambda s, d: graph.unreferenced(_d(s, d).join(table(s, d, "documents", "doc_id", "entity"), "doc_id"), F.col("entity")),
+    "cleanup_orphans": lambda s, d: graph.unreferenced(_d(s, d), F.col("entity")),
     "alias_resolve": lambda s, d: graph.resolve_aliases(table(s, d, "documents", "entity").where("entity is not null").select(F.lower(F.regexp_replace("entity", "-", " ")).alias("name")).distinct(), table(s, d, "aliases")),
 }
 

@@ -19,9 +19,8 @@ def _d(s, d):
 
 
 def _three(s, d):
-    named = _d(s, d).join(table(s, d, "documents", "doc_id", "entity"), "doc_id")
     edges = table(s, d, "edges", "from_id", "to_id").select(F.lower(F.trim("from_id")).alias("from_id"), F.lower(F.trim("to_id")).alias("to_id")).where("from_id != '' and to_id != ''")
-    return multipass.three_pass(named, edges, facts.facts_view(table(s, d, "facts")), Q, AS_OF)
+    return multipass.three_pass(_d(s, d), edges, facts.facts_view(table(s, d, "facts")), Q, AS_OF)
 
 
 def _hybrid(s, d):
@@ -60,8 +59,7 @@ PARTS = subqueries(COMPOUND)
 
 
 def _compound(s, d):
-    named = _d(s, d).join(table(s, d, "documents", "doc_id", "entity"), "doc_id")
-    return multipass.compound(named, COMPOUND, AS_OF)
+    return multipass.compound(_d(s, d), COMPOUND, AS_OF)
 
 
 QUERIES = {

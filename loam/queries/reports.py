@@ -78,8 +78,8 @@ QUERIES = {
     "chunk_docs": lambda s, d: reports.chunked(_d(s, d)),
     "extract_values": lambda s, d: reports.extracted(_d(s, d)),
     "extract_relations": lambda s, d: reports.relations(_d(s, d)),
-    "open_loops": lambda s, d: reports.marked_lines(_d(s, d), reports.PENDING),
-    "distill_decisions": lambda s, d: reports.marked_lines(_d(s, d), reports.DECIDED),
+    "open_loops": lambda s, d: reports.open_loops(_d(s, d)),
+    "distill_decisions": lambda s, d: reports.decisions(_d(s, d), _ev(s, d)),
     "debug_hypotheses": lambda s, d: reports.debug_hypotheses(_d(s, d)),
     "debug_status": lambda s, d: reports.debug_status(_d(s, d)),
     "near_lines": lambda s, d: reports.near_lines(_d(s, d)),
@@ -157,11 +157,11 @@ SQL: dict[str, str] = {
     "snapshot_history": f"WITH {_SNAP} SELECT path, (CASE WHEN x IS NULL THEN 'absent' ELSE 'new' END) || ',' || (CASE WHEN y IS NULL THEN 'deleted' WHEN x IS NULL THEN 'new' WHEN x = y THEN 'unchanged' ELSE 'modified' END) AS states FROM j",
     "statements": f"WITH {_SENT}, k AS (SELECT doc_id, line_no, sentence_no, lower(sentence) AS s, {_SENTI} AS sentiment, {_CATS} FROM se) SELECT doc_id, line_no, sentence_no, {_KIND} AS kind, {_CAT} AS category, sentiment FROM k",
     "keywords_topn": f"WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(content), '[a-z]{{3,}}')) AS word FROM docs), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word NOT IN ({', '.join(repr(x) for x in dict.fromkeys(reports.STOPS))}) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS pos FROM c QUALIFY pos <= 10",
-    "chunk_docs": f"WITH {DOCS}, w AS (SELECT doc_id, content, {_WS} AS w, len({_WS}) AS n FROM docs), z AS (SELECT *, CASE WHEN n < 500 THEN 128 WHEN n <= 2000 THEN 256 ELSE 512 END AS size FROM w), c AS (SELECT doc_id, content, w, n, size, unnest(generate_series(0, CASE WHEN n <= size THEN 0 ELSE ceil((n - size) / (size - 50)::DOUBLE)::INT END)) AS chunk_no FROM z), k AS (SELECT doc_id, chunk_no, CASE WHEN n <= size THEN content ELSE list_aggregate(w[chunk_no * (size - 50) + 1 : chunk_no * (size - 50) + size], 'string_agg', ' ') END AS chunk FROM c) SELECT doc_id, chunk_no, length(chunk) AS n_chars, md5(chunk) AS hash FROM k",
+    "chunk_docs": f"WITH {DOCS}, w AS (SELECT doc_id, content, {_WS} AS w, len({_WS}) AS n FROM docs), z AS (SELECT *, CASE WHEN length(content) < 500 THEN 128 WHEN length(content) <= 2000 THEN 256 ELSE 512 END AS size FROM w), c AS (SELECT doc_id, content, w, n, size, unnest(generate_series(0, CASE WHEN n <= size THEN 0 ELSE ceil((n - size) / (size - 50)::DOUBLE)::INT END)) AS chunk_no FROM z), k AS (SELECT doc_id, chunk_no, CASE WHEN n <= size THEN content ELSE list_aggregate(w[chunk_no * (size - 50) + 1 : chunk_no * (size - 50) + size], 'string_agg', ' ') END AS chunk FROM c) SELECT doc_id, chunk_no, length(chunk) AS n_chars, md5(chunk) AS hash FROM k",
     "extract_values": f"WITH {DOCS}, x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(content, '{p}')) AS value FROM docs" for k, p in _EXTRACT.items()) + ") SELECT doc_id, kind, value, count(*) AS n FROM x GROUP BY ALL",
     "extract_relations": _relations_sql(),
-    "open_loops": f"WITH {_LINES} SELECT doc_id, line_no FROM ln WHERE NOT starts_with(line, '#') AND ({_has('line', reports.PENDING)})",
-    "distill_decisions": f"WITH {_LINES} SELECT doc_id, line_no FROM ln WHERE NOT starts_with(line, '#') AND ({_has('line', reports.DECIDED)})",
+    "open_loops": f"WITH {_LINES} SELECT ln.doc_id, line_no, strftime(mtime, '%Y-%m-%d') AS day FROM ln JOIN docs ON ln.doc_id = docs.doc_id WHERE NOT starts_with(trim(line), '#') AND ({' OR '.join(f'contains(line, {chr(39)}{c}{chr(39)})' for c in reports.PENDING)})",
+    "distill_decisions": f"WITH {_LINES} SELECT 'event' AS source, event_id AS key, 0 AS line_no, 'normal' AS importance FROM events WHERE {_has('concat_ws(chr(32), event_type, props)', reports.DECIDED)} UNION ALL SELECT 'decision', doc_id, 0, 'high' FROM docs WHERE dir = 'decisions' AND ({_has('content', reports.DECIDED)}) UNION ALL SELECT 'note', ln.doc_id, line_no, 'normal' FROM ln JOIN docs ON ln.doc_id = docs.doc_id WHERE dir = 'base' AND NOT starts_with(line, '#') AND ({_has('line', reports.DECIDED)})",
     "debug_hypotheses": f"WITH {_HY} SELECT * FROM hy",
     "debug_status": f"WITH {_HY} SELECT doc_id, count(*) AS n, count(*) FILTER (status = 'confirmed') AS n_confirmed, count(*) FILTER (status = 'rejected') AS n_rejected, count(*) FILTER (status = 'testing') AS n_testing, coalesce(max(no) FILTER (status = 'testing'), 0) AS current FROM hy GROUP BY doc_id",
     "near_lines": f"WITH {_LINES}, s AS (SELECT doc_id, coalesce(list_aggregate(list_filter(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT regexp_matches(w, '^(?:\\p{{Lu}}|[0-9])')), 'string_agg', ' '), '') AS line FROM ln WHERE starts_with(line, '- ') AND length(line) > 12) SELECT line, count(DISTINCT doc_id) AS n_docs, count(*) AS n_lines FROM s WHERE line <> '' GROUP BY line HAVING n_docs > 1",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loam.functions import text
 from loam.operators import fusion, lexical, ranking, routing
+from loam.session import checkpoint_folder
 from loam.sources.tables import spread, table
 
 Q = "choir rehearsal plan budget"
@@ -33,10 +36,14 @@ def counted_sql(terms: list[str], name: str = "c") -> str:
     )
 
 
+def _in_name(term: str) -> str:
+    return f"list_contains(regexp_extract_all(lower(replace(stem, '-', ' ')), '[\\p{{L}}\\p{{N}}_]+'), '{term}')"
+
+
 def bm25_sql(terms: list[str], names: bool) -> str:
     parts = []
     for i, t in enumerate(terms):
-        tf = f"(CASE WHEN tf{i} = 0 AND contains(lower(replace(stem, '-', ' ')), '{t}') THEN 1 ELSE tf{i} END)" if names else f"tf{i}"
+        tf = f"(CASE WHEN tf{i} = 0 AND {_in_name(t)} THEN 1 ELSE tf{i} END)" if names else f"tf{i}"
         parts.append(f"(CASE WHEN {tf} > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * {tf}::DOUBLE * 2.5 / ({tf}::DOUBLE + 1.5 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END)")
     return " + ".join(parts)
 
@@ -48,7 +55,7 @@ def composite_sql(query: str, name: str) -> str:
     q = query.lower()
     weight = [f"greatest(0.1, (n - greatest(df{i}, 1) + 0.5) / (greatest(df{i}, 1) + 0.5))" for i in range(len(terms))]
     stem = "lower(replace(stem, '-', ' '))"
-    token = "(" + " + ".join(f"CASE WHEN tf{i} > 0 OR contains({stem}, '{t}') THEN {weight[i]} ELSE 0 END" for i, t in enumerate(terms)) + f") / ({' + '.join(weight)})"
+    token = "(" + " + ".join(f"CASE WHEN tf{i} > 0 OR {_in_name(t)} THEN {weight[i]} ELSE 0 END" for i, t in enumerate(terms)) + f") / ({' + '.join(weight)})"
     most = "(" + " + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1)" for i in range(len(terms))) + ") * 2.5"
     pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
     phrase = "(" + (" + ".join(f"contains(lower(content), '{p}')::INT" for p in pairs) or "0") + f") * 0.15::DOUBLE / {max(len(pairs), 1)}"
@@ -75,12 +82,20 @@ def variants_sql(query: str, k: int, name: str) -> str:
     return f"{parts}, {name}u AS (SELECT doc_id, max(score) AS score FROM ({union}) GROUP BY doc_id), {name} AS ({top_sql(name + 'u', k)})"
 
 
-def snippet(hits):
-    return hits.withColumn("snippet", F.substring("content", 1, 400))
+def snippet(hits, query=Q):
+    return hits.withColumn("snippet", text.snippet(F.col("content"), text.tokens_of(query), phrase=query.lower()))
 
 
 def hits(spark, d, query=Q, k=40):
-    return lexical.top(lexical.composite(docs(spark, d), query, AS_OF).select("doc_id", "score", "content", "dir"), k)
+    found = docs(spark, d)
+    return lexical.texts_of(found, lexical.search(found, query, AS_OF, k), "content", "dir", "stem")
+
+
+def _postings(spark, d):
+    """``bm25_topk`` from postings that are written first, below the folder for checkpoints."""
+    folder = f"{checkpoint_folder(spark)}/postings-{uuid.uuid4().hex}"
+    lexical.write_postings(docs(spark, d), folder, 16)
+    return lexical.bm25_postings(spark, folder, Q, buckets=16)
 
 
 def _hits_sql(query=Q, k=40):
@@ -93,14 +108,14 @@ def _class_sql() -> tuple[str, str]:
     return f"CASE {simple} ELSE 'fact' END", f"CASE {typed} ELSE 'general' END"
 
 
-TURNS_SQL = f"WITH {DOCS}, t AS (SELECT doc_id, regexp_extract_all(content, '\\[USER\\] *([^\\n\\r]*)', 1) AS q FROM docs), u AS (SELECT doc_id, unnest(q) AS question, generate_subscripts(q, 1) - 1 AS pos FROM t)"
+TURNS_SQL = f"WITH {DOCS}, t AS (SELECT doc_id, list_transform(string_split(content, '[USER]')[2:], lambda x: trim(regexp_extract(x, '(?s)^(.*?)(?:\\[(?:ASSISTANT|SYSTEM)\\]|\\z)', 1))) AS q FROM docs), u AS (SELECT doc_id, unnest(q) AS question, generate_subscripts(q, 1) - 1 AS pos FROM t)"
 LISTS = [Q, "storage quota review", "garden survey"]
 
 
 def _bonus_sql(kind):
     low, dated, opened = "lower(content)", "regexp_matches(content, '\\d{4}-\\d{2}-\\d{2}')", "regexp_matches(content, 'valid:\\[[^\\]\\)]*\\.\\.\\)')"
     return {
-        "temporal_reasoning": f"(CASE WHEN regexp_matches({low}, '{ranking.ORDER}') THEN 0.15 ELSE 0 END) + (CASE WHEN {dated} THEN 0.10 WHEN regexp_matches({low}, '(?:^|[^0-9])(?:19|20)\\d\\d(?:$|[^0-9])') THEN 0.05 ELSE 0 END) + (CASE WHEN {dated} THEN 0.05 ELSE 0 END)",
+        "temporal_reasoning": f"(CASE WHEN regexp_matches({low}, '{ranking.ORDER}') THEN 0.15 ELSE 0 END) + (CASE WHEN {dated} THEN 0.10 WHEN regexp_matches({low}, '{ranking.YEAR}') THEN 0.05 ELSE 0 END) + (CASE WHEN {dated} THEN 0.05 ELSE 0 END)",
         "knowledge_update": f"(CASE WHEN {opened} THEN 0.20 WHEN {dated} THEN 0.10 ELSE 0 END) + (CASE WHEN regexp_matches({low}, '{ranking.NOW}') THEN 0.05 ELSE 0 END)",
         "preference": f"(CASE WHEN regexp_matches({low}, '{ranking.LIKES}') THEN 0.25 ELSE 0 END)",
         "counting": f"(CASE WHEN regexp_matches({low}, '{ranking.BOUGHT}') THEN 0.30 ELSE 0 END) - (CASE WHEN regexp_matches({low}, '{ranking.INTENT.replace(chr(39), chr(39) * 2)}') THEN 0.15 ELSE 0 END)",
@@ -111,6 +126,7 @@ QUERIES = {
     "corpus_stats": lambda s, d: lexical.corpus_stats(docs(s, d)),
     "term_stats": lambda s, d: lexical.term_stats(docs(s, d)),
     "bm25_topk": lambda s, d: lexical.bm25_topk(docs(s, d), Q),
+    "bm25_postings": _postings,
     "composite_search": lambda s, d: lexical.search(docs(s, d), Q, AS_OF, 50),
     "expanded_search": lambda s, d: lexical.expanded(docs(s, d), "who moved the storage quota review in Venmark", AS_OF, 30),
     "score_floor": lambda s, d: lexical.ranked(docs(s, d), Q, AS_OF, 30, 0.5),
@@ -120,16 +136,16 @@ QUERIES = {
     "smart_search": lambda s, d: routing.smart(docs(s, d), "when was the garden survey", AS_OF, HINT, 20),
     "directory_lookup": lambda s, d: lexical.lookup(docs(s, d), "ferry timetable"),
     "recent_gather": lambda s, d: lexical.gather(docs(s, d), 400, "2024", "people"),
-    "multi_query_rrf": lambda s, d: fusion.rrf([lexical.search(docs(s, d), q, AS_OF, 30) for q in LISTS]),
-    "weighted_rrf": lambda s, d: fusion.rrf([lexical.search(docs(s, d), q, AS_OF, 30) for q in LISTS[:2]], weights=[0.5, 0.5]),
-    "max_merge": lambda s, d: fusion.maximum([lexical.search(docs(s, d), q, AS_OF, 30) for q in LISTS]),
-    "weighted_blend": lambda s, d: fusion.blend([lexical.search(docs(s, d), q, AS_OF, 30) for q in LISTS], [0.5, 0.3, 0.2]),
+    "multi_query_rrf": lambda s, d: fusion.rrf(lexical.search_lists(docs(s, d), LISTS, AS_OF, 30)),
+    "weighted_rrf": lambda s, d: fusion.rrf(lexical.search_lists(docs(s, d), LISTS[:2], AS_OF, 30), weights=[0.5, 0.5]),
+    "max_merge": lambda s, d: fusion.maximum(lexical.search_lists(docs(s, d), LISTS, AS_OF, 30)),
+    "weighted_blend": lambda s, d: fusion.blend(lexical.search_lists(docs(s, d), LISTS, AS_OF, 30), [0.5, 0.3, 0.2]),
     "timeline_search": lambda s, d: routing.timeline(docs(s, d), Q, AS_OF, 40),
     "latest_search": lambda s, d: routing.latest(docs(s, d), Q, AS_OF, 30),
     "preference_search": lambda s, d: routing.preference(docs(s, d), Q, AS_OF, 40),
-    "counting_sweep": lambda s, d: routing.counting(lexical.corpus(spread(table(s, d, "documents"))).join(table(s, d, "documents", "doc_id", "entity"), "doc_id"), table(s, d, "edges", "from_id", "to_id"), "how many storage quota reviews", AS_OF),
+    "counting_sweep": lambda s, d: routing.counting(docs(s, d), table(s, d, "edges", "from_id", "to_id"), "how many storage quota reviews", AS_OF),
     "classify_questions": lambda s, d: routing.user_turns(docs(s, d)).select("doc_id", "pos", routing.classify_simple(F.col("question")).alias("simple_class"), routing.classify(F.col("question")).alias("question_type")),
-    "confidence_bucket": lambda s, d: hits(s, d).select("doc_id", "score", ranking.confidence(F.col("score"), F.col("content")).alias("confidence")),
+    "confidence_bucket": lambda s, d: snippet(hits(s, d)).select("doc_id", "score", ranking.confidence(F.col("score"), F.col("snippet")).alias("confidence"), "snippet"),
     "context_budget": lambda s, d: ranking.budget(snippet(hits(s, d)), 1500),
     "compress_select": lambda s, d: ranking.compress(snippet(hits(s, d)), Q, 3000),
     **{f"rerank_{k}": (lambda s, d, k=k: ranking.rerank(hits(s, d), k)) for k in ("temporal_reasoning", "knowledge_update", "preference", "counting")},
@@ -156,13 +172,26 @@ def _temporal_sql(query, k):
     return f"{_hits_sql(query, 2 * k)}, b AS (SELECT doc_id, least(1::DOUBLE, score + (CASE WHEN contains(content, '{HINT}') THEN 0.15 WHEN {gap} <= 30 THEN 0.10::DOUBLE * (1 - {gap} / 30.0) ELSE 0 END)::DOUBLE) AS score FROM h) {top_sql('b', k)}"
 
 
-_SNIP = "substr(content, 1, 400)"
+_SNIP = "snippet"
+
+
+def _snip_sql(source: str, query: str) -> str:
+    """CTEs ending in ``sn``: ``source`` with what a hit shows."""
+    terms, q = list(dict.fromkeys(text.tokens_of(query))), query.lower()
+    return (
+        f"s0 AS (SELECT *, string_split(content, chr(10)) AS l FROM {source}), s1 AS (SELECT *, list_transform(l, lambda x: len(list_intersect(list_distinct({WORDS.format('x')}), {terms}))) AS n, list_position(list_transform(l, lambda x: contains(lower(x), '{q}')), true) AS p FROM s0)"
+        ", s2 AS (SELECT * EXCLUDE (n, p), CASE WHEN p > 0 THEN p WHEN list_max(n) > 0 THEN list_position(n, list_max(n)) END AS i FROM s1)"
+        ", sn AS (SELECT * EXCLUDE (l, i), CASE WHEN i IS NULL THEN '' ELSE coalesce(substr(list_aggregate(list_filter(list_transform(l[greatest(1, i - 3) : i + 3], lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> ''), 'string_agg', ' | '), 1, 200), '') END AS snippet FROM s2)"
+    )
+
+
 _CONF = "CASE WHEN regexp_matches(lower({0}), '" + ranking.INTENT.replace("'", "''") + "') THEN 'low' WHEN score > 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END"
 _LEVEL = "CASE WHEN dir IN ('entities', 'live-notes') THEN 1 WHEN dir IN ('decisions', 'meetings', 'runbooks') THEN 2 ELSE 3 END"
 SQL: dict[str, str] = {
     "corpus_stats": f"WITH {DOCS} SELECT count(*) AS n_docs, avg(len({WORDS.format('content')})) AS avg_tokens FROM docs",
     "term_stats": f"WITH {DOCS}, t AS (SELECT doc_id, unnest({WORDS.format('content')}) AS term FROM docs) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM t GROUP BY term",
     "bm25_topk": f"WITH {DOCS}, {counted_sql(text.tokens_of(Q))}, s AS (SELECT doc_id, {bm25_sql(text.tokens_of(Q), False)} AS score FROM c) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20",
+    "bm25_postings": f"WITH {DOCS}, {counted_sql(text.tokens_of(Q))}, s AS (SELECT doc_id, {bm25_sql(text.tokens_of(Q), False)} AS score FROM c) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20",
     "composite_search": f"WITH {DOCS}, {composite_sql(Q, 'h')} {top_sql('h', 50)}",
     "expanded_search": f"WITH {DOCS}, {variants_sql('who moved the storage quota review in Venmark', 30, 'e')} SELECT * FROM e",
     "score_floor": f"{_hits_sql(Q, 30)} SELECT doc_id, score FROM (SELECT *, max(score) OVER () AS best FROM h) WHERE score >= 0.5 OR best < 0.5",
@@ -179,9 +208,9 @@ SQL: dict[str, str] = {
     "latest_search": f"WITH {DOCS}, {variants_sql(Q, 30, 'e')}, j AS (SELECT e.doc_id, score, epoch_us(mtime) AS m FROM e JOIN docs ON e.doc_id = docs.doc_id) SELECT doc_id, score + 0.20::DOUBLE * (CASE WHEN max(m) OVER () > min(m) OVER () THEN (m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()) ELSE 0 END) AS score FROM j",
     "preference_search": f"{_hits_sql(Q, 40)} SELECT doc_id, score + least(0.25::DOUBLE, 0.05::DOUBLE * ({' + '.join(f'contains(lower(content), {chr(39)}{w}{chr(39)})::INT' for w in routing.LIKING)})) AS score FROM h",
     "classify_questions": f"{TURNS_SQL} SELECT doc_id, pos, {_class_sql()[0]} AS simple_class, {_class_sql()[1]} AS question_type FROM u",
-    "confidence_bucket": f"{_hits_sql()} SELECT doc_id, score, {_CONF.format('content')} AS confidence FROM h",
-    "context_budget": f"{_hits_sql()}, b AS (SELECT doc_id, score, CASE WHEN content = '' THEN 0 ELSE greatest(1, length({_SNIP}) // 4) END AS n_tokens FROM h), r AS (SELECT doc_id, n_tokens, row_number() OVER w AS pos, sum(n_tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM b WINDOW w AS (ORDER BY score DESC, doc_id)) SELECT * FROM r WHERE used <= 1500 OR pos = 1",
-    "compress_select": f"{_hits_sql()}, p AS (SELECT doc_id, score + 0.5 * (len(list_intersect(list_distinct({WORDS.format(_SNIP)}), {text.tokens_of(Q)})) / {len(text.tokens_of(Q))}.0) + (CASE WHEN regexp_matches({_SNIP}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 0.15 ELSE 0 END)::DOUBLE + (CASE {_CONF.format(_SNIP)} WHEN 'high' THEN 0.20 WHEN 'medium' THEN 0.05 ELSE -0.10 END)::DOUBLE AS priority, lower(substr(content, 1, 80)) AS key, least(length({_SNIP}), 220) AS n FROM h), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority DESC, doc_id) = 1), r AS (SELECT doc_id, priority, row_number() OVER w AS pos, sum(n + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM k WINDOW w AS (ORDER BY priority DESC, doc_id)) SELECT * FROM r WHERE used <= 3000 OR pos = 1",
+    "confidence_bucket": f"{_hits_sql()}, {_snip_sql('h', Q)} SELECT doc_id, score, {_CONF.format('snippet')} AS confidence, snippet FROM sn",
+    "context_budget": f"{_hits_sql()}, {_snip_sql('h', Q)}, b AS (SELECT doc_id, score, CASE WHEN snippet = '' THEN 0 ELSE greatest(1, length({_SNIP}) // 4) END AS n_tokens FROM sn), r AS (SELECT doc_id, n_tokens, row_number() OVER w AS pos, sum(n_tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM b WINDOW w AS (ORDER BY score DESC, doc_id)) SELECT * FROM r WHERE used <= 1500 OR pos = 1",
+    "compress_select": f"{_hits_sql()}, {_snip_sql('h', Q)}, p AS (SELECT doc_id, score + 0.5 * (len(list_intersect(list_distinct({WORDS.format(_SNIP)}), {text.tokens_of(Q)})) / {len(text.tokens_of(Q))}.0) + (CASE WHEN regexp_matches({_SNIP}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 0.15 ELSE 0 END)::DOUBLE + (CASE {_CONF.format(_SNIP)} WHEN 'high' THEN 0.20 WHEN 'medium' THEN 0.05 ELSE -0.10 END)::DOUBLE AS priority, lower(substr(snippet, 1, 80)) AS key, least(length({_SNIP}), 220) AS n FROM sn WHERE snippet <> ''), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY priority DESC, doc_id) = 1), r AS (SELECT doc_id, priority, row_number() OVER w AS pos, sum(n + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM k WINDOW w AS (ORDER BY priority DESC, doc_id)) SELECT * FROM r WHERE used <= 3000 OR pos = 1",
     **{
         f"rerank_{k}": f"{_hits_sql()}, r AS (SELECT doc_id, score + ({_bonus_sql(k)})::DOUBLE AS score, list_max(regexp_extract_all(content, '\\d{{4}}-\\d{{2}}-\\d{{2}}')) AS date FROM h) SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, {'date DESC NULLS LAST, ' if k == 'temporal_reasoning' else ''}doc_id) AS pos FROM r"
         for k in ("temporal_reasoning", "knowledge_update", "preference", "counting")

@@ -40,6 +40,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder in use for checkpoints."""
+    checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there (eager, reliable)."""
     checkpoint_dir(df.sparkSession)
