@@ -1,11 +1,14 @@
 """Variant spellings of the names of persons and organizations (problem 4).
 
 A name is read into *core* (surname or root) and *other* (given name or sector), with titles, honorifics, legal
-forms, abbreviations, nicknames, middle initials and the order of parts normalised.  Readings that differ by a typo
-in the core are found by a pigeonhole segment join: with ``k = 1`` edits each core is cut into two segments, of
-which one is intact; substrings of a core, shifted for the other's length, are looked up in the inverted index of
-segments, and candidates are verified with a banded edit distance.  A swap across the cut would spoil both
-segments, so a third key leaves the two letters at the cut unordered.
+forms, abbreviations, nicknames, middle initials and the order of parts normalised.  Readings that differ by typos in
+the core are found by a pigeonhole segment join: a core is cut into segments of even length, of which ``k`` edits leave
+one intact; substrings of a core, shifted for the other's length, are looked up in the inverted index of segments, and
+candidates are verified with a banded edit distance.  For ``k = 1`` there are two segments.  Where one is intact the other
+has the one edit, so both cores agree in it once a letter is taken out; the key has what then is left, or candidates would
+grow with the square of the names that share a given name.  A swap across the cut would spoil both segments, so a third
+key leaves the two letters at the cut unordered.  For larger ``k`` there are ``2 k + 1``
+segments, as each edit, swaps included, spoils two at most.
 """
 
 from __future__ import annotations
@@ -24,8 +27,14 @@ from pyspark.sql import types as T
 from loam.llm.components import components
 from loam.session import cut
 
-MIN_CORE = 5
-SHARE_OF_GIVEN = 5_000
+#: Shorter cores are variants only if they are equal: an edit would change a third of such a name or more.
+MIN_CORE = 4
+#: Edits that a core may have.
+EDITS = 1
+#: A given name stands beside so many different words, and so many times as many as those do on average.
+LEAST_BESIDE, TIMES_BESIDE = 8, 2
+#: Given names that may be broadcast (about 20 MB); more are an error.
+MAX_GIVEN = 1_000_000
 
 #: Short forms of given names in common use.
 NICKNAMES = """
@@ -104,12 +113,30 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def near(word: str, known: set[str]) -> str | None:
-    """The one known word at one edit from ``word``; None if there is none or several."""
-    if len(word) < 4:
-        return None
-    found = [k for k in known if len(k) > 3 and edit_distance(word, k, 1) == 1]
-    return found[0] if len(found) == 1 else None
+class Nearby:
+    """Known words at one edit from a word: both, or one letter less of both, agree."""
+
+    def __init__(self, known: set[str]):
+        self.index: dict[str, set[str]] = {}
+        for w in known:
+            if len(w) > 3:
+                for x in self._less(w):
+                    self.index.setdefault(x, set()).add(w)
+
+    @staticmethod
+    def _less(word: str) -> set[str]:
+        return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+    def find(self, word: str) -> str | None:
+        """The one known word at one edit from ``word``; None if there is none or several."""
+        if len(word) < 4:
+            return None
+        near = {w for x in self._less(word) for w in self.index.get(x, ())}
+        found = [w for w in near if edit_distance(word, w, 1) == 1]
+        return found[0] if len(found) == 1 else None
+
+
+_NEAR_SECTORS = Nearby(set(_FULL_SECTORS))
 
 
 @dataclass
@@ -117,15 +144,19 @@ class Reader:
     """Reads names; ``given`` holds the given names in common use in the data."""
 
     given: set[str]
+    nearby: Nearby = field(init=False)
     cache: dict[str, list[tuple[str, str, str, bool]]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.nearby = Nearby(self.given)
+
     def organization(self, words: list[str], sure: bool) -> list[tuple[str, str, str, bool]]:
         rest = [w for w in words if w not in LEGAL and w not in LIGHT]
         sector = next((i for i in range(len(rest) - 1, -1, -1) if rest[i] in _SECTOR), None)
         code = _SECTOR[rest[sector]] if sector is not None else None
         if sector is None and len(rest) > 1:
             for i in range(len(rest) - 1, -1, -1):
-                if len(rest[i]) > 5 and (code := near(rest[i], set(_FULL_SECTORS))):
+                if len(rest[i]) > 5 and (code := _NEAR_SECTORS.find(rest[i])):
                     sector = i
                     break
         if sector is None:
@@ -146,7 +177,7 @@ class Reader:
         elif any(told):
             other, core = words
         else:
-            close = [near(w, self.given) for w in words]
+            close = [self.nearby.find(w) for w in words]
             if not any(close) and not sure:
                 return []
             other, core = (close[0], words[1]) if close[0] or not close[1] else (close[1], words[0])
@@ -186,15 +217,23 @@ def _letters(text: Column) -> Column:
 
 
 def common_given(names: DataFrame) -> set[str]:
-    """Words that stand beside many different other words in two-word names, and the full forms of nicknames.
+    """Given names: words of two-word names that stand beside many different words, while those stand beside few; and the
+    full forms of nicknames.
 
-    At most ``2 * SHARE_OF_GIVEN`` words can pass, because each needs that share of all names.
+    The test compares a word with its neighbours, so it gives the same answer at every size of the data.  What is
+    collected is a vocabulary of given names; more than ``MAX_GIVEN`` of them are an error.
     """
     two = names.where("kind = 'person'").select(F.split(F.lower("text"), " ").alias("w")).where(F.size("w") == 2).distinct()
-    least = max(8, two.count() // SHARE_OF_GIVEN)
     sides = F.array(F.struct(F.col("w")[0].alias("word"), F.col("w")[1].alias("beside")), F.struct(F.col("w")[1].alias("word"), F.col("w")[0].alias("beside")))
-    rows = two.select(F.inline(sides)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word").collect()
-    return {r["word"] for r in rows if len(r["word"]) > 2} | {f for full in _NICK.values() for f in full}
+    pairs = two.select(F.inline(sides)).distinct()
+    counts = cut(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    many = counts.where((F.col("n") >= LEAST_BESIDE) & (F.length("word") > 2))
+    beside = pairs.join(many, "word").join(counts.select(F.col("word").alias("beside"), F.col("n").alias("theirs")), "beside")
+    rows = beside.groupBy("word").agg(F.max("n").alias("n"), F.avg("theirs").alias("mean")).where(F.col("n") >= TIMES_BESIDE * F.col("mean"))
+    found = {r["word"] for r in rows.select("word").limit(MAX_GIVEN + 1).collect()}
+    if len(found) > MAX_GIVEN:
+        raise ValueError(f"more than {MAX_GIVEN} given names")
+    return found | {f for full in _NICK.values() for f in full}
 
 
 def node_names(nodes: DataFrame) -> DataFrame:
@@ -234,12 +273,23 @@ def readings(names: DataFrame, given: set[str]) -> DataFrame:
     return names.select("src", "key", "kind", "text").mapInArrow(run, "src string, key string, cls string, core string, other string, weak boolean")
 
 
-def _cut_at(length: Column) -> Column:
-    return F.floor(length * F.lit(2) / F.lit(5)).cast("int")
+def _segment(kind: str, length: Column, text: Column, rest: Column | None = None) -> Column:
+    """Hashed key of a segment of a core of this length, and of what is left of the rest of the core."""
+    return F.xxhash64(F.lit(kind), length, text, F.lit("") if rest is None else rest)
+
+
+def _rest(core: Column, at: Column, size: Column) -> Column:
+    return F.concat(F.substring(core, F.lit(1), at - 1), F.substring(core, at + size, F.length(core)))
+
+
+def _letter_less(text: Column) -> Column:
+    """The text with each of its letters taken out in turn."""
+    one = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.when(F.length(text) > 0, F.array_distinct(one)).otherwise(F.array().cast("array<string>"))
 
 
-def _segment(kind: str, length: Column, text: Column) -> Column:
-    return F.struct(F.lit(kind).alias("segment"), length.alias("length"), text.alias("text"))
+def _keys(kind: str, length: Column, text: Column, rest: Column) -> Column:
+    return F.transform(_letter_less(rest), lambda x: _segment(kind, length, text, x))
 
 
 def _unordered(core: Column, at: Column) -> Column:
@@ -247,42 +297,73 @@ def _unordered(core: Column, at: Column) -> Column:
     return F.concat_ws("|", F.substring(core, F.lit(1), at - 1), F.least(a, b), F.greatest(a, b), F.substring(core, at + 2, F.length(core)))
 
 
-@F.arrow_udf(T.BooleanType())
-def _one_edit(xs: pa.Array, ys: pa.Array) -> pa.Array:
-    return pa.array([edit_distance(x, y, 1) <= 1 for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.bool_())
+def _within(edits: int):
+    @F.arrow_udf(T.BooleanType())
+    def close(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array([edit_distance(x, y, edits) <= edits for x, y in zip(xs.to_pylist(), ys.to_pylist(), strict=True)], pa.bool_())
 
+    return close
 
-def typo_links(forms: DataFrame) -> DataFrame:
-    """``(u, v)`` of forms (``form, cls, core, other``) that differ by one edit in the core.
 
-    Every core of the index is cut into two segments; a core looks up its own substrings at the places the cut has
-    in cores of its length and of one more.
+def _bounds(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+    """First letter (from 1) and size of the ``i``-th of ``parts`` even segments of a core of this length."""
+    at = F.floor(length * F.lit(i) / F.lit(parts)).cast("int")
+    return at + 1, F.floor(length * F.lit(i + 1) / F.lit(parts)).cast("int") - at
+
+
+def typo_candidates(forms: DataFrame, edits: int = EDITS, min_core: int = MIN_CORE) -> DataFrame:
+    """``(u, v, core_u, core_v)`` of forms (``form, cls, core, other``) that share a segment, the shorter core first.
+
+    Every core of the index is cut into segments; a core looks up its own substrings at the places the cuts have in
+    cores of its length and of up to ``edits`` more.
     """
-    long = forms.where(F.length("core") >= MIN_CORE)
-    n = F.length("core")
-    own = F.array(
-        _segment("front", n, F.substring(F.col("core"), F.lit(1), _cut_at(n))),
-        _segment("back", n, F.substring(F.col("core"), _cut_at(n) + 1, n)),
-        _segment("swap", n, _unordered(F.col("core"), _cut_at(n))),
-    )
-    m = n + 1
-    shifted = F.array(
-        _segment("front", m, F.substring(F.col("core"), F.lit(1), _cut_at(m))),
-        _segment("back", m, F.substring(F.col("core"), n - (m - _cut_at(m)) + 1, n)),
-    )
-    index = long.select("cls", "other", F.col("form").alias("v"), F.col("core").alias("core_v"), F.inline(own))
-    ask = long.select("cls", "other", F.col("form").alias("u"), F.col("core").alias("core_u"), F.inline(F.concat(own, shifted)))
-    met = ask.join(index, ["cls", "other", "segment", "length", "text"])
+    long = forms.where(F.length("core") >= min_core)
+    n, core = F.length("core"), F.col("core")
+    parts = 2 if edits == 1 else 2 * edits + 1
+    own, asks = [], []
+    if edits == 1:
+        m = n + 1
+        for i in range(2):
+            at, size = _bounds(n, i, 2)
+            text, rest = F.substring(core, at, size), _rest(core, at, size)
+            keys = _keys(str(i), n, text, rest)
+            own.append(keys)
+            asks.append(keys)
+            # a core that is a letter longer has its back half one place further on
+            at, size = _bounds(m, i, 2)
+            at = at - i
+            asks.append(F.array(_segment(str(i), m, F.substring(core, at, size), _rest(core, at, size))))
+        swap = F.array(_segment("swap", n, _unordered(core, _bounds(n, 0, 2)[1])))
+        own, asks = [*own, swap], [*asks, swap]
+    else:
+        for i in range(parts):
+            at, size = _bounds(n, i, parts)
+            own.append(F.array(_segment(str(i), n, F.substring(core, at, size))))
+        for more in range(edits + 1):
+            m = n + more
+            for i in range(parts):
+                at, size = _bounds(m, i, parts)
+                for shift in range(-edits, edits + 1):
+                    inside = (at + shift >= 1) & (at + shift + size <= n + 1)
+                    asks.append(F.when(inside, F.array(_segment(str(i), m, F.substring(core, at + shift, size)))).otherwise(F.array().cast("array<long>")))
+    index = long.select("cls", "other", F.col("form").alias("v"), F.col("core").alias("core_v"), F.explode(F.array_distinct(F.concat(*own))).alias("key"))
+    ask = long.select("cls", "other", F.col("form").alias("u"), F.col("core").alias("core_u"), F.explode(F.array_distinct(F.concat(*asks))).alias("key"))
+    met = ask.join(index, ["cls", "other", "key"])
     met = met.where((F.length("core_u") < F.length("core_v")) | ((F.length("core_u") == F.length("core_v")) & (F.col("core_u") < F.col("core_v"))))
-    return met.select("u", "v", "core_u", "core_v").distinct().where(_one_edit("core_u", "core_v")).select("u", "v")
+    return met.select("u", "v", "core_u", "core_v").distinct()
 
 
-def entities(read: DataFrame) -> DataFrame:
+def typo_links(forms: DataFrame, edits: int = EDITS, min_core: int = MIN_CORE) -> DataFrame:
+    """``(u, v)`` of the candidates within ``edits`` of each other."""
+    return typo_candidates(forms, edits, min_core).where(_within(edits)("core_u", "core_v")).select("u", "v")
+
+
+def entities(read: DataFrame, edits: int = EDITS) -> DataFrame:
     """``(src, key, entity)``: names that refer to one person or organization have one number."""
     keyed = read.groupBy("cls", "core", "other", "weak").agg(F.count(F.lit(1)).alias("_n"))
     forms = cut(keyed.drop("_n").withColumn("form", F.monotonically_increasing_id()))
     strong = forms.where("not weak")
-    typos = typo_links(strong)
+    typos = typo_links(strong, edits)
     # a weak form joins the one strong form of its core that it can stand for; if there are several it stays alone
     fits = F.when(F.length("w.other") == 1, F.substring("s.other", 1, 1) == F.col("w.other")).otherwise(F.col("s.other") == F.col("w.other"))
     met = forms.where("weak").alias("w").join(strong.alias("s"), (F.col("w.cls") == F.col("s.cls")) & (F.col("w.core") == F.col("s.core")) & fits)
@@ -302,14 +383,21 @@ def entities(read: DataFrame) -> DataFrame:
     return readings_of.join(sure, ["src", "key"], "left").select("src", "key", F.coalesce(F.concat(F.lit("="), F.col("sure")), F.col("open")).alias("entity"))
 
 
-def linked_names(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``(kind, key_a, key_b)``: ``node_pair`` of two node ids, ``alias_node`` of an alias row and a node id.
+def name_entities(nodes: DataFrame, aliases: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``(src, key, entity)``: node ids (``n``) and alias rows without canonical (``a``) by the person or organization they
+    name; one row each, however many name the same.
 
-    Null ids, labels and aliases are skipped; an alias nobody matches gives no row; repeated rows change nothing.
+    Null ids, labels and aliases are skipped; repeated rows change nothing.
     """
     names = cut(node_names(nodes))
     read = readings(names, common := common_given(names)).unionByName(readings(alias_names(aliases), common))
-    found = cut(entities(cut(read.distinct())))
+    return cut(entities(cut(read.distinct()), edits))
+
+
+def linked_names(nodes: DataFrame, aliases: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``(kind, key_a, key_b)``: ``node_pair`` of two node ids, ``alias_node`` of an alias row and a node id; a view of
+    ``name_entities``.  An alias nobody matches gives no row."""
+    found = name_entities(nodes, aliases, edits)
     ids = found.where("src = 'n'").select("entity", F.col("key").alias("key_b"))
     pairs = found.where("src = 'n'").select("entity", F.col("key").alias("key_a")).join(ids, "entity").where("key_a < key_b")
     named = found.where("src = 'a'").select("entity", F.col("key").alias("key_a")).join(ids, "entity")

@@ -6,7 +6,7 @@ from loam.llm.bpe import encode_documents
 from loam.llm.components import alias_groups
 from loam.llm.dress import copy_histogram, dressed_copies
 from loam.llm.mixing import mix_sources, share_report, sized_documents
-from loam.llm.names import linked_names
+from loam.llm.names import linked_names, name_entities
 from loam.llm.residue import fit, residue_documents, residue_scores
 from loam.session import cut
 from loam.sources.tables import spread, table
@@ -24,6 +24,11 @@ def p4_found(spark, d):
     return linked_names(table(spark, d, "nodes", "id", "node_type", "label"), table(spark, d, "aliases", "alias_no", "alias", "canonical"))
 
 
+def p4_entities(spark, d):
+    """Members of each person or organization: one row per node id or alias row."""
+    return name_entities(table(spark, d, "nodes", "id", "node_type", "label"), table(spark, d, "aliases", "alias_no", "alias", "canonical"))
+
+
 def p7_found(spark, d):
     return alias_groups(table(spark, d, "aliases", "alias", "canonical"))
 
@@ -54,7 +59,7 @@ def p10_scores(spark, d):
     return residue_scores(documents, fit(documents))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_histogram, p4_found, p7_found, p8_ids, p9_selection, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_histogram, p4_found, p4_entities, p7_found, p8_ids, p9_selection, p9_shares, p10_found, p10_scores)}
 _FOLD = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _COPIES = (
     f"WITH n AS (SELECT {_FOLD.format('label')} AS k, node_no FROM nodes WHERE label IS NOT NULL), e AS (SELECT coalesce(graph_type, 'entity') AS g, {_FOLD.format('from_id')} AS a, coalesce({_FOLD.format('relation')}, '') AS r, {_FOLD.format('to_id')} AS b, id"
