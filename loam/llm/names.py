@@ -274,8 +274,9 @@ def readings(names: DataFrame, given: set[str]) -> DataFrame:
 
 
 def _segment(kind: str, length: Column, text: Column, rest: Column | None = None) -> Column:
-    """Hashed key of a segment of a core of this length, and of what is left of the rest of the core."""
-    return F.xxhash64(F.lit(kind), length, text, F.lit("") if rest is None else rest)
+    """Hashed key of a segment of a core of this length, of what is left of the rest of the core, and of the class and the
+    other part of the name."""
+    return F.xxhash64("cls", "other", F.lit(kind), length, text, F.lit("") if rest is None else rest)
 
 
 def _rest(core: Column, at: Column, size: Column) -> Column:
@@ -312,29 +313,26 @@ def _bounds(length: Column, i: int, parts: int) -> tuple[Column, Column]:
 
 
 def typo_candidates(forms: DataFrame, edits: int = EDITS, min_core: int = MIN_CORE) -> DataFrame:
-    """``(u, v, core_u, core_v)`` of forms (``form, cls, core, other``) that share a segment, the shorter core first.
+    """``(u, v)`` of forms (``form, cls, core, other``) that share a segment, each pair once.
 
     Every core of the index is cut into segments; a core looks up its own substrings at the places the cuts have in
-    cores of its length and of up to ``edits`` more.
+    cores of its length and of up to ``edits`` more.  Only hashed keys and form numbers are shuffled; cores of one length
+    have their lookups in the index already, so the index meets itself and, for longer partners, the shifted keys.
     """
     long = forms.where(F.length("core") >= min_core)
     n, core = F.length("core"), F.col("core")
     parts = 2 if edits == 1 else 2 * edits + 1
-    own, asks = [], []
+    own, shifted = [], []
     if edits == 1:
         m = n + 1
         for i in range(2):
             at, size = _bounds(n, i, 2)
-            text, rest = F.substring(core, at, size), _rest(core, at, size)
-            keys = _keys(str(i), n, text, rest)
-            own.append(keys)
-            asks.append(keys)
+            own.append(_keys(str(i), n, F.substring(core, at, size), _rest(core, at, size)))
             # a core that is a letter longer has its back half one place further on
             at, size = _bounds(m, i, 2)
             at = at - i
-            asks.append(F.array(_segment(str(i), m, F.substring(core, at, size), _rest(core, at, size))))
-        swap = F.array(_segment("swap", n, _unordered(core, _bounds(n, 0, 2)[1])))
-        own, asks = [*own, swap], [*asks, swap]
+            shifted.append(F.array(_segment(str(i), m, F.substring(core, at, size), _rest(core, at, size))))
+        own.append(F.array(_segment("swap", n, _unordered(core, _bounds(n, 0, 2)[1]))))
     else:
         for i in range(parts):
             at, size = _bounds(n, i, parts)
@@ -345,17 +343,21 @@ def typo_candidates(forms: DataFrame, edits: int = EDITS, min_core: int = MIN_CO
                 at, size = _bounds(m, i, parts)
                 for shift in range(-edits, edits + 1):
                     inside = (at + shift >= 1) & (at + shift + size <= n + 1)
-                    asks.append(F.when(inside, F.array(_segment(str(i), m, F.substring(core, at + shift, size)))).otherwise(F.array().cast("array<long>")))
-    index = long.select("cls", "other", F.col("form").alias("v"), F.col("core").alias("core_v"), F.explode(F.array_distinct(F.concat(*own))).alias("key"))
-    ask = long.select("cls", "other", F.col("form").alias("u"), F.col("core").alias("core_u"), F.explode(F.array_distinct(F.concat(*asks))).alias("key"))
-    met = ask.join(index, ["cls", "other", "key"])
-    met = met.where((F.length("core_u") < F.length("core_v")) | ((F.length("core_u") == F.length("core_v")) & (F.col("core_u") < F.col("core_v"))))
-    return met.select("u", "v", "core_u", "core_v").distinct()
+                    shifted.append(F.when(inside, F.array(_segment(str(i), m, F.substring(core, at + shift, size)))).otherwise(F.array().cast("array<long>")))
+    keyed = lambda keys, name: long.select(F.col("form").alias(name), F.explode(F.array_distinct(F.concat(*keys))).alias("key"))
+    index = keyed(own, "v")
+    even = index.select(F.col("v").alias("u"), "key").join(index, "key").where("u < v")
+    longer = keyed(shifted, "u").join(index, "key").where("u != v")
+    pairs = even.select("u", "v").unionByName(longer.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    return pairs.distinct()
 
 
 def typo_links(forms: DataFrame, edits: int = EDITS, min_core: int = MIN_CORE) -> DataFrame:
     """``(u, v)`` of the candidates within ``edits`` of each other."""
-    return typo_candidates(forms, edits, min_core).where(_within(edits)("core_u", "core_v")).select("u", "v")
+    pairs = typo_candidates(forms, edits, min_core)
+    of = lambda side: forms.select(F.col("form").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("cls", "other", "core")])
+    met = pairs.join(of("u"), "u").join(of("v"), "v").where("cls_u = cls_v and other_u = other_v")
+    return met.where(_within(edits)("core_u", "core_v")).select("u", "v")
 
 
 def entities(read: DataFrame, edits: int = EDITS) -> DataFrame:
