@@ -3,8 +3,8 @@
 Records are hashed through the skip-and-fold table and grouped by hash; counts and first records are combined before
 the shuffle, so a hot group is one row per task.  Groups in more than one dress are joined back (one row per group
 on one side, so adaptive execution can split a hot one) and each row is compared with the group's first record.
-Rows that collide without being equal fall back to their canonical string, so the result is exact whatever the hash
-does.
+Rows that collide without being equal fall back to their canonical string.  Only groups whose records have one unfolded
+64-bit hash as well are taken as equal without a comparison.
 """
 
 from __future__ import annotations
