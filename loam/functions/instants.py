@@ -62,6 +62,8 @@ SHAPES = [
     ("stamp", rf"{_YEAR}(?P<m>99)(?P<d>99)"),
 ]
 _SHAPES = [(kind, re.compile(p)) for kind, p in SHAPES]
+#: Seconds between which zone tables hold every transition (about 1900 to 2100); other times follow the zone's rules.
+FIRST, LAST = -70 * 31_557_600, 130 * 31_557_600
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -75,6 +77,15 @@ def tz_version() -> str:
         return "system"
 
 
+def _offset_outside(name: str, local: int) -> int:
+    """Offset of a wall-clock second before or after what the tables cover, by the zone's own rules: the first of a repeated
+    time, and that before the skip of a skipped one, as in the tables."""
+    from zoneinfo import ZoneInfo
+
+    at = datetime(1970, 1, 1) + timedelta(seconds=local)
+    return int(at.replace(tzinfo=ZoneInfo(name)).utcoffset().total_seconds())
+
+
 @lru_cache(maxsize=1024)
 def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     """Local break points (seconds) and the offsets (seconds) between them; None for an unknown zone.
@@ -92,9 +103,9 @@ def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     def offset(second: int) -> int:
         return int((_EPOCH + timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
 
-    first, last, day = -70 * 31_557_600, 130 * 31_557_600, 86_400
-    breaks, offsets = [], [offset(first)]
-    for at in range(first, last, 7 * day):
+    day = 86_400
+    breaks, offsets = [], [offset(FIRST)]
+    for at in range(FIRST, LAST, 7 * day):
         lo, hi = at, at + 7 * day
         while offset(hi) != offsets[-1]:
             a, b = lo, hi
@@ -173,6 +184,8 @@ def _local_to_utc(local: np.ndarray, ok: np.ndarray, zones: Sequence[str | None]
         if table is not None:
             breaks, offsets = table
             out[at] = local[at] - offsets[np.searchsorted(breaks, local[at], side="right")]
+            for i in np.flatnonzero(at & ok & ((local < FIRST + 172_800) | (local > LAST - 172_800))):
+                out[i] = local[i] - _offset_outside(name, int(local[i]))
     return out
 
 

@@ -49,6 +49,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda t: F.length(t) > 1)
 
 
+def strip(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def run_lengths(words: Column) -> Column:
     """Map of each distinct word of an array to the number of times it is there, counted within the row: runs of the
     sorted words."""

@@ -82,10 +82,14 @@ def stale(view: DataFrame, as_of: str, days: int = 365) -> DataFrame:
 
 
 def observations(view: DataFrame, day: str, most: int = 5) -> DataFrame:
-    """Per entity its first ``most`` keys with the value that counts on ``day``: ``k=v; k=v``."""
-    now = fact_at(view, day).where("value is not null")
-    pairs = F.array_sort(F.collect_list(F.concat_ws("=", "key", "value")))
-    return now.groupBy("entity").agg(F.array_join(F.slice(pairs, 1, most), "; ").alias("observation"))
+    """Per entity its first ``most`` keys with the value that counts on ``day``: ``k=v; k=v``.
+
+    The row-number limit is applied per task before the shuffle, so no more than ``most`` rows are collected.
+    """
+    w = Window.partitionBy("entity").orderBy("pair")
+    pairs = fact_at(view, day).where("value is not null").select("entity", F.concat_ws("=", "key", "value").alias("pair"))
+    first = pairs.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
+    return first.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list("pair")), "; ").alias("observation"))
 
 
 def overlap_counts(df: DataFrame, keys: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:

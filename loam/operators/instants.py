@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,7 @@ def normalised_values(tables: dict[str, DataFrame], agents: DataFrame) -> DataFr
     repeated rows give repeated rows; an empty table gives none.
     """
     parts = [stacked(df, name, *FIELDS[name]) for name, df in tables.items()]
-    values = parts[0]
-    for p in parts[1:]:
-        values = values.unionByName(p)
+    values = reduce(DataFrame.unionByName, parts)
     us = noncanonical_us(F.col("value"), F.col("_zone"), F.col("_order"))
     return (
         with_agent(values, agents)
@@ -43,18 +43,21 @@ def normalised_values(tables: dict[str, DataFrame], agents: DataFrame) -> DataFr
     )
 
 
-def shape_report(df: DataFrame, fields: list[str], agents: DataFrame) -> DataFrame:
-    """Per field and shape (digits ``9``, ASCII letters ``a``): values and how many have an instant.
+def shape_report(tables: dict[str, DataFrame], agents: DataFrame) -> DataFrame:
+    """Per table of ``FIELDS``, field and shape (digits ``9``, ASCII letters ``a``): values and how many have an instant.
 
     Null values are counted under the shape null.
     """
-    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
-    rows = with_agent(df.select("agent", F.inline(values)), agents)
+    parts = []
+    for name, df in tables.items():
+        values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS[name][1]])
+        parts.append(df.select(F.lit(name).alias("source_table"), "agent", F.inline(values)))
+    rows = with_agent(reduce(DataFrame.unionByName, parts), agents)
     us = instant_us(F.col("value"), F.col("_zone"), F.col("_order"))
     shape = F.regexp_replace(F.regexp_replace(F.trim("value"), "[0-9]", "9"), "[A-Za-z]", "a")
     return (
-        rows.select("field", shape.alias("shape"), us.alias("us"))
-        .groupBy("field", "shape")
+        rows.select("source_table", "field", shape.alias("shape"), us.alias("us"))
+        .groupBy("source_table", "field", "shape")
         .agg(F.count(F.lit(1)).alias("n_values"), F.count("us").alias("n_instants"))
     )
 

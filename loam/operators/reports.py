@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from loam.functions.text import WORD, chunk_size, chunks, jaccard, lines, run_lengths, tokens, words_of
 from loam.plans.components import components
+from loam.plans.ordered import TARGET_ROWS, bucketed
 from loam.session import cut
 
 COMMON_SHARE = 10_000
@@ -107,30 +108,28 @@ def chunked(docs: DataFrame, overlap: int = 50) -> DataFrame:
     return rows.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5(F.encode("chunk", "UTF-8")).alias("hash"))
 
 
-def extracted(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, value, n``: amounts, ISO dates, e-mail addresses and handles a document names."""
-    kinds = {"date": r"\d{4}-\d{2}-\d{2}", "quantity": r"\d+ (?:units|days|hours|steps|minutes|answers)", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "percent": r"\d+(?:\.\d+)?%", "status": r"status: [a-z]+"}
-    rows = None
-    for k, p in kinds.items():
-        part = docs.select("doc_id", F.lit(k).alias("kind"), F.explode(F.regexp_extract_all("content", F.lit(p), F.lit(0))).alias("value"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("doc_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+#: Numeric facts worth a registry; dates apart, the case of letters doesn't count.
+VALUES = {
+    "currency": r"(?i)[\$₩€]\s?[\d,.]+(?:\s*(?:million|billion|trillion|만|억|조|M|B|K))?\b",
+    "percent": r"(?i)\d+(?:\.\d+)?%",
+    "counted": r"(?i)\d+(?:,\d+)*(?:\s+(?:items|users|employees|members|people|명|개|건|팀))",
+    "date": r"\d{4}-\d{2}-\d{2}",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "status": r"status: [a-z]+",
+}
 
 
-#: Relation patterns of English notes; the object ends at a lower-case word.
-RELATIONS = {"works_at": r"(NAME) now works at (NAME)", "lives_in": r"(NAME) now works at NAME and lives in (NAME)", "prefers_mail": r"Remember that (NAME) prefers (mail)", "confidence_from": r"(Confidence) is medium; the only source is (NAME)"}
-_NAME = r"\p{Lu}[\p{L}]+(?: \p{Lu}[\p{L}]+)*"
+def _values(kind: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda v: F.concat(F.lit(kind + "\x1f"), F.trim(v)))
 
 
-def relations(docs: DataFrame) -> DataFrame:
-    """``doc_id, subject, relation, object`` of sentences that state a relation."""
-    rows = None
-    for name, p in RELATIONS.items():
-        p = p.replace("NAME", _NAME)
-        groups = [F.regexp_extract_all("content", F.lit(p), F.lit(i)) for i in (1, 2)]
-        part = docs.select("doc_id", F.explode(F.arrays_zip(groups[0].alias("s"), groups[1].alias("o"))).alias("z")).select("doc_id", F.col("z.s").alias("subject"), F.lit(name).alias("relation"), F.col("z.o").alias("object"))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.distinct()
+def extracted(docs: DataFrame) -> DataFrame:
+    """``doc_id, kind, value, n``: amounts, shares, counted things, dates, addresses and handles that a document names; one
+    scan, counted within the row."""
+    found = F.flatten(F.array(*[_values(k, p) for k, p in VALUES.items()]))
+    rows = docs.select("doc_id", F.explode(F.map_entries(run_lengths(found))).alias("e"))
+    parts = F.split("e.key", "\x1f")
+    return rows.select("doc_id", parts[0].alias("kind"), parts[1].alias("value"), F.col("e.value").cast("long").alias("n"))
 
 
 def open_loops(docs: DataFrame) -> DataFrame:
@@ -171,6 +170,16 @@ def debug_status(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), n("confirmed"), n("rejected"), n("testing"), F.coalesce(F.max(F.when(F.col("status") == "testing", F.col("no"))), F.lit(0)).alias("current"))
 
 
+def debug_search(docs: DataFrame, query: str) -> DataFrame:
+    """``doc_id, source``: debug sessions that hold the query in any case."""
+    return docs.where((F.col("dir") == "debug") & F.lower("content").contains(query.lower())).select("doc_id", F.col("dir").alias("source"))
+
+
+def rejected(docs: DataFrame, query: str) -> DataFrame:
+    """``doc_id, no, hypothesis``: rejected hypotheses that hold the query in any case."""
+    return debug_hypotheses(docs).where((F.col("status") == "rejected") & F.lower("hypothesis").contains(query.lower())).select("doc_id", "no", "hypothesis")
+
+
 def near_lines(docs: DataFrame) -> DataFrame:
     """``line, n_docs, n_lines``: bullet lines that agree once numbers, names and marks are dropped, in several
     documents.  One row per form; no pairs are made.  Lines that are merely similar are linked by ``similar_lines``."""
@@ -363,10 +372,19 @@ def daily(events: DataFrame) -> DataFrame:
     return events.groupBy(day, "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"), F.max("value").alias("top_value"))
 
 
-def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """Sessions per user: events no more than ``gap_minutes`` apart."""
-    rows = events.groupBy("user_id", F.session_window("ts", f"{gap_minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
-    return rows.select("user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(w.start as timestamp_ntz))").alias("start_us"), "n", "first_id")
+def sessions(events: DataFrame, gap_minutes: int = 30, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """``user_id, start_us, n, first_id``: sessions per user, events less than ``gap_minutes`` apart.
+
+    A session begins where the event before is further away; the running number of beginnings names it.  Users with many
+    events are cut into ranges of time.  Events without a time belong to no session.
+    """
+    rows = events.where("user_id is not null and ts is not null")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    times = cut(rows.select("user_id", us.alias("us"), "event_id").groupBy("user_id", "us").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id")))
+    line = bucketed(times, ["user_id"], "us", target_rows).neighbours({"before": "us"}, {})
+    new = F.when(F.col("before").isNull() | (F.col("us") - F.col("before") >= gap_minutes * 60_000_000), 1).otherwise(0)
+    told = line.column("new", new).running_total("new", "no", "_all").df
+    return told.groupBy("user_id", "no").agg(F.min("us").alias("start_us"), F.sum("n").alias("n"), F.min("first_id").alias("first_id")).drop("no")
 
 
 def retro(events: DataFrame) -> DataFrame:

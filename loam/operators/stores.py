@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import jaccard, lines, tokens, tokens_of
+from loam.operators.extract import condition_bonus
+from loam.operators.lexical import similarity
 from loam.operators.lifecycle import decay_rate, memory_type
 from loam.plans.ordered import TARGET_ROWS, bucketed
 from loam.session import cut
@@ -47,14 +49,17 @@ MODALITIES = {
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, name``: named things of a document; a person's name that begins with a common word is none."""
-    rows = None
-    for kind, p in {"person": PERSON, **ENTITY_PATTERNS}.items():
-        part = docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(0)))).alias("name"))
-        rows = part if rows is None else rows.unionByName(part)
+    """``doc_id, kind, name``: named things of a document; a person's name that begins with a common word is none.  One scan
+    for all patterns."""
+    found = F.array_distinct(F.flatten(F.array(*[_kinds(k, p) for k, p in {"person": PERSON, **ENTITY_PATTERNS}.items()])))
+    rows = docs.select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.kind", "e.name")
     return rows.where((F.col("kind") != "person") | ~F.split("name", " ")[0].isin(COMMON + OPENERS))
 
 
+def _kinds(kind: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+
 def opposing(old: Column, new: Column) -> Column:
     """Whether two lower-case facts contradict each other: an opposed pair of wordings, or one field with two values."""
     met = F.lit(False)
@@ -73,8 +78,10 @@ def state_changes(view: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
 
 
 def resolved(view: DataFrame, strategy: str = "newest") -> DataFrame:
-    """``entity, key, value``: the fact that wins a conflict, the ``newest`` or the most trusted (``confidence``)."""
-    trust = F.when(F.col("fact_type") == "semantic", 3).when(F.col("fact_type") == "procedural", 2).otherwise(1)
+    """``entity, key, value``: the fact that wins a conflict, the ``newest`` or the most trusted (``confidence``: verified,
+    experimental, hypothesis, none, as the value says), of equals the newest."""
+    said = F.regexp_extract(F.lower("value"), "(verified|experimental|hypothesis)", 1)
+    trust = F.when(said == "verified", 3).when(said == "experimental", 2).when(said == "hypothesis", 1).otherwise(0)
     order = [F.col("recorded"), (-F.col("line_no")).alias("back"), F.col("value")]
     order = [trust.alias("trust"), *order] if strategy == "confidence" else order
     return view.where("value is not null").groupBy("entity", "key").agg(F.max(F.struct(*order)).alias("b")).select("entity", "key", "b.value")
@@ -96,9 +103,9 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def root_causes(docs: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """``doc_id, pos, score``: 0.95 for a confirmed hypothesis, 0.05 for a rejected one, else its overlap with the
-    document's head (0.3 at least) and 0.05 for each bullet (0.25 at most), 0.9 at most."""
-    facts = docs.select("doc_id", F.size(F.filter(lines(F.col("content")), lambda x: x.startswith("- "))).alias("n"), F.array_distinct(tokens(F.substring("content", 1, 300))).alias("head"))
+    """``doc_id, pos, score``: 0.95 for a confirmed hypothesis, 0.05 for a rejected one, else the word overlap with its
+    whole document (0.3 at least) and 0.05 for each bullet (0.25 at most), 0.9 at most."""
+    facts = docs.select("doc_id", F.size(F.filter(lines(F.col("content")), lambda x: x.startswith("- "))).alias("n"), F.array_distinct(tokens(F.col("content"))).alias("head"))
     like = jaccard(F.array_distinct(tokens(F.col("hypothesis"))), F.col("head"))
     open_score = F.least(F.lit(0.9), F.greatest(F.lit(0.3), like) + F.least(F.lit(0.25), 0.05 * F.col("n")))
     score = F.when(F.col("status") == "confirmed", 0.95).when(F.col("status") == "rejected", 0.05).otherwise(open_score)
@@ -142,8 +149,8 @@ def chunk_search(chunks: DataFrame, query: str, top: int = 20) -> DataFrame:
 
 
 def goal_rerank(hits: DataFrame, goal: str) -> DataFrame:
-    """``doc_id, score`` of hits lifted by a goal: the whole goal or its words in the text, slowly decaying kinds of
-    memory, core notes, and trusted facts."""
+    """``doc_id, score`` of hits lifted by a goal: the whole goal or its words in the text, 0.15 of the best line's ratio,
+    slowly decaying kinds of memory, core notes, trusted facts, and conditions that fit."""
     c, low, words = F.col("content"), F.lower("content"), list(dict.fromkeys(tokens_of(goal)))
     share = F.size(F.array_intersect(F.array_distinct(tokens(c)), F.array(*[F.lit(w) for w in words]))) / F.lit(float(len(words)))
     fit = F.when(low.contains(goal.lower()), 0.3).otherwise(0.2 * share)
@@ -152,7 +159,9 @@ def goal_rerank(hits: DataFrame, goal: str) -> DataFrame:
     total = n["verified"] + n["experimental"] + n["hypothesis"]
     trust = F.when(total > 0, 0.05 * (n["verified"] + 0.7 * n["experimental"] + 0.4 * n["hypothesis"]) / total).otherwise(0.0)
     core = F.when(low.contains("tier: core"), 0.03).otherwise(0.0)
-    return hits.select("doc_id", F.least(F.lit(1.0), F.col("score") + fit + kind + core + trust).alias("score"))
+    line = 0.15 * F.get(similarity([goal.lower()])(F.col("content"), F.lit("")), F.lit(0))
+    lift = fit + line + kind + core + trust + condition_bonus(c, goal)
+    return hits.select("doc_id", F.least(F.lit(1.0), F.col("score") + lift).alias("score"))
 
 
 def modality(path: Column) -> Column:

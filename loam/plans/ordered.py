@@ -4,7 +4,7 @@ A plain window puts all rows of a key into one task.  Here keys with more than `
 *buckets*: consecutive ranges of the order column, made by Spark's own range partitioning, so their bounds are
 sampled quantiles and no bucket depends on how the order column is spread.  Windows then run per (key, bucket) and
 what crosses a bucket's edge is added from one summary row per bucket.  The summaries are as many as there are
-range partitions plus hot keys, so broadcasting them is bounded.  Without a hot key no extra work is done.
+range partitions plus hot keys; they are broadcast up to ``BROADCAST_ROWS`` and joined by shuffling beyond.  Without a hot key no extra work is done.
 
 The order column must be unique per key (aggregate ties first); rows are never dropped.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from loam.session import cut
 
 TARGET_ROWS = 1_000_000
-BROADCAST_KEYS = 100_000
+#: Rows of a side that is broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass
@@ -30,19 +31,21 @@ class Bucketed:
     keys: list[str]
     order: str
     hot: bool
+    summaries: int = 0
 
     def _window(self):
         return Window.partitionBy(*self.keys, "_bucket").orderBy(self.order)
 
     def _with(self, df: DataFrame) -> Bucketed:
-        return Bucketed(df, self.keys, self.order, self.hot)
+        return Bucketed(df, self.keys, self.order, self.hot, self.summaries)
 
     def _join_summary(self, df: DataFrame, summary: DataFrame, names: list[str]) -> DataFrame:
         on = [df[k].eqNullSafe(summary[k]) for k in [*self.keys, "_bucket"]]
         condition = on[0]
         for c in on[1:]:
             condition = condition & c
-        return df.join(F.broadcast(summary), condition, "left").select(*[df[c] for c in df.columns], *[summary[n] for n in names])
+        side = F.broadcast(summary) if self.summaries <= BROADCAST_ROWS else summary
+        return df.join(side, condition, "left").select(*[df[c] for c in df.columns], *[summary[n] for n in names])
 
     def running_total(self, value: str, out: str, total: str) -> Bucketed:
         """Add ``out``: the sum of ``value`` up to and with this row; ``total``: the key's sum."""
@@ -108,7 +111,7 @@ def bucketed(df: DataFrame, keys: list[str], order: str, target_rows: int = TARG
     if not found["keys"]:
         return Bucketed(df.withColumn("_bucket", F.lit(0)), keys, order, False)
     side = hot.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    if found["keys"] <= BROADCAST_KEYS:
+    if found["keys"] <= BROADCAST_ROWS:
         side = F.broadcast(side)
     condition = F.lit(True)
     for k in keys:
@@ -116,4 +119,4 @@ def bucketed(df: DataFrame, keys: list[str], order: str, target_rows: int = TARG
     cold = df.join(side, condition, "left_anti").withColumn("_bucket", F.lit(0))
     parts = 1 + -(-int(found["rows"]) // target_rows)
     ranged = df.join(side, condition, "left_semi").repartitionByRange(parts, *keys, order)
-    return Bucketed(cold.unionByName(cut(ranged.withColumn("_bucket", F.spark_partition_id() + 1))), keys, order, True)
+    return Bucketed(cold.unionByName(cut(ranged.withColumn("_bucket", F.spark_partition_id() + 1))), keys, order, True, parts + found["keys"])

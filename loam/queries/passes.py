@@ -41,17 +41,15 @@ def _stream_counts(s, d):
     """Pattern counts of the whole event table as one stream run to its end."""
     import uuid
 
-    from loam.session import checkpoint_dir
-    from loam.streaming.streams import pattern_counts
+    from loam.session import checkpoint_folder
+    from loam.streaming.streams import OUT, pattern_counts, write_updates
 
     events = table(s, d, "events")
-    checkpoint_dir(s)
-    where = f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    name = f"counts_{uuid.uuid4().hex}"
+    where = f"{checkpoint_folder(s)}/stream-{uuid.uuid4().hex}"
     stream = s.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    query = pattern_counts(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+    query = write_updates(pattern_counts(stream), f"{where}/rows", f"{where}/state")
     query.awaitTermination()
-    return s.table(name).groupBy("event_type").agg(F.max("n").alias("n"))
+    return s.read.schema(OUT).parquet(f"{where}/rows").groupBy("event_type").agg(F.max("n").alias("n"))
 
 
 COMPOUND = "what is the budget of the garden survey?"

@@ -77,7 +77,6 @@ QUERIES = {
     "keywords_topn": lambda s, d: reports.keywords(_d(s, d)),
     "chunk_docs": lambda s, d: reports.chunked(_d(s, d)),
     "extract_values": lambda s, d: reports.extracted(_d(s, d)),
-    "extract_relations": lambda s, d: reports.relations(_d(s, d)),
     "open_loops": lambda s, d: reports.open_loops(_d(s, d)),
     "distill_decisions": lambda s, d: reports.decisions(_d(s, d), _ev(s, d)),
     "debug_hypotheses": lambda s, d: reports.debug_hypotheses(_d(s, d)),
@@ -126,20 +125,11 @@ _KIND = (
     " WHEN regexp_matches(s, '(?:^|[^a-z])(?:is|are|was|lives|works|pays|owns)(?:$|[^a-z])') THEN 'fact' WHEN sentiment <> 'neutral' THEN 'sentiment' ELSE 'general' END"
 )
 _WS = "list_filter(regexp_split_to_array(content, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
-_EXTRACT = {"date": r"\d{4}-\d{2}-\d{2}", "quantity": r"\d+ (?:units|days|hours|steps|minutes|answers)", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "percent": r"\d+(?:\.\d+)?%", "status": r"status: [a-z]+"}
 _HYP = "'### H(\\d+): ([^\\n\\r]*)\\r?\\n(?:status: ([a-z]+))?'"
 _HY = f"{DOCS}, h AS (SELECT doc_id, regexp_extract_all(content, {_HYP}, 1) AS a, regexp_extract_all(content, {_HYP}, 2) AS b, regexp_extract_all(content, {_HYP}, 3) AS c FROM docs), hy AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a)::INT AS no, unnest(c) AS status, unnest(b) AS hypothesis FROM h)"
 _SEV = "CASE WHEN value >= 75 THEN 'critical' WHEN value >= 50 THEN 'high' WHEN value >= 25 THEN 'medium' ELSE 'low' END"
 
 
-def _relations_sql():
-    parts = []
-    for name, p in reports.RELATIONS.items():
-        p = p.replace("NAME", reports._NAME)
-        parts.append(f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(content, '{p}', 1)) AS subject, '{name}' AS relation, unnest(regexp_extract_all(content, '{p}', 2)) AS object FROM docs")
-    return f"WITH {DOCS} SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)})"
-
-
 SQL: dict[str, str] = {
     "front_matter": f"WITH {DOCS}, b AS (SELECT doc_id, unnest(regexp_split_to_array({_FRONT.format('content')}, '\\r?\\n')) AS line FROM docs), p AS (SELECT DISTINCT doc_id, trim(regexp_extract(line, '^([^:]+): *(.*)$', 1)) AS key, trim(regexp_extract(line, '^([^:]+): *(.*)$', 2)) AS value FROM b WHERE regexp_matches(line, '^([^:]+): *(.*)$')) SELECT * FROM p",
     "timeline_rows": f"WITH {_TL} SELECT * FROM tl",
@@ -158,8 +148,7 @@ SQL: dict[str, str] = {
     "statements": f"WITH {_SENT}, k AS (SELECT doc_id, line_no, sentence_no, lower(sentence) AS s, {_SENTI} AS sentiment, {_CATS} FROM se) SELECT doc_id, line_no, sentence_no, {_KIND} AS kind, {_CAT} AS category, sentiment FROM k",
     "keywords_topn": f"WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(content), '[a-z]{{3,}}')) AS word FROM docs), c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word NOT IN ({', '.join(repr(x) for x in dict.fromkeys(reports.STOPS))}) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS pos FROM c QUALIFY pos <= 10",
     "chunk_docs": f"WITH {DOCS}, w AS (SELECT doc_id, content, {_WS} AS w, len({_WS}) AS n FROM docs), z AS (SELECT *, CASE WHEN length(content) < 500 THEN 128 WHEN length(content) <= 2000 THEN 256 ELSE 512 END AS size FROM w), c AS (SELECT doc_id, content, w, n, size, unnest(generate_series(0, CASE WHEN n <= size THEN 0 ELSE ceil((n - size) / (size - 50)::DOUBLE)::INT END)) AS chunk_no FROM z), k AS (SELECT doc_id, chunk_no, CASE WHEN n <= size THEN content ELSE list_aggregate(w[chunk_no * (size - 50) + 1 : chunk_no * (size - 50) + size], 'string_agg', ' ') END AS chunk FROM c) SELECT doc_id, chunk_no, length(chunk) AS n_chars, md5(chunk) AS hash FROM k",
-    "extract_values": f"WITH {DOCS}, x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(content, '{p}')) AS value FROM docs" for k, p in _EXTRACT.items()) + ") SELECT doc_id, kind, value, count(*) AS n FROM x GROUP BY ALL",
-    "extract_relations": _relations_sql(),
+    "extract_values": f"WITH {DOCS}, x AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, trim(unnest(regexp_extract_all(content, '{p}'))) AS value FROM docs" for k, p in reports.VALUES.items()) + ") SELECT doc_id, kind, value, count(*) AS n FROM x GROUP BY ALL",
     "open_loops": f"WITH {_LINES} SELECT ln.doc_id, line_no, strftime(mtime, '%Y-%m-%d') AS day FROM ln JOIN docs ON ln.doc_id = docs.doc_id WHERE NOT starts_with(trim(line), '#') AND ({' OR '.join(f'contains(line, {chr(39)}{c}{chr(39)})' for c in reports.PENDING)})",
     "distill_decisions": f"WITH {_LINES} SELECT 'event' AS source, event_id AS key, 0 AS line_no, 'normal' AS importance FROM events WHERE {_has('concat_ws(chr(32), event_type, props)', reports.DECIDED)} UNION ALL SELECT 'decision', doc_id, 0, 'high' FROM docs WHERE dir = 'decisions' AND ({_has('content', reports.DECIDED)}) UNION ALL SELECT 'note', ln.doc_id, line_no, 'normal' FROM ln JOIN docs ON ln.doc_id = docs.doc_id WHERE dir = 'base' AND NOT starts_with(line, '#') AND ({_has('line', reports.DECIDED)})",
     "debug_hypotheses": f"WITH {_HY} SELECT * FROM hy",

@@ -22,7 +22,7 @@ def p2_found(spark, d):
 
 
 def p2_shapes(spark, d):
-    return shape_report(table(spark, d, "edges"), ["created_at", "valid_from"], table(spark, d, "agents"))
+    return shape_report({t: table(spark, d, t) for t in ("edges", "nodes", "aliases")}, table(spark, d, "agents"))
 
 
 def p5_found(spark, d):

@@ -48,3 +48,9 @@ def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def pattern_counts(events: DataFrame) -> DataFrame:
     """Running count of each type and its 50 latest ids, kept as bounded state across batches."""
     return events.groupBy("event_type").applyInPandasWithState(_count, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def write_updates(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append what each batch updates to the Parquet files of ``folder``; nothing is kept on the driver."""
+    append = lambda batch, _: batch.write.mode("append").parquet(folder)
+    return counts.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
