@@ -95,7 +95,7 @@ def test_conflicts_by_hand(spark):
     facts = ["Ann leads the garden team", "Ann leads the garden team well", "the door is open", "Role: cook", "something else"]
     rows = spark.createDataFrame([(1, i, f) for i, f in enumerate(facts)], "doc_id long, line_no int, fact string")
     lines = lambda new: sorted(r["line_no"] for r in context.conflicting(rows, new).collect())
-    assert lines("the door is closed") == [2] and lines("role: pilot") == [3] and lines("Ann leads the garden crew") == [0, 1] and lines("Ann leads the garden team") == []
+    assert lines("the door is closed") == [2] and lines("role: pilot") == [3] and lines("Ann leads the garden crew") == [0, 1] and lines("Ann leads the garden team") == [1]
 
 
 def test_intent_needs_whole_words(spark):
