@@ -14,6 +14,10 @@ from loam.session import cut
 
 LOW, HIGH = "0000", "9999"
 
+#: Beginnings of keys, and values, of negative preferences.
+NEGATIVE_KEYS = ["dislike", "not_", "avoid", "discontinued", "persona_dislike", "hate", "anti"]
+NEGATIVE_VALUES = ["no", "none", "never", "n/a", "false"]
+
 
 def bound(value: Column) -> Column:
     """A date bound; ``now``, ``none``, ``null`` and blank are open (null)."""
@@ -161,11 +165,26 @@ def chain(view: DataFrame, start: str, end: str) -> DataFrame:
     return rows.select("entity", "key", "value", "vf", "line_no", (F.lit(0.3) + 0.7 * (1 - F.col("age") / F.lit(float(top or 1)))).alias("score"))
 
 
+def clean_value(value: Column) -> Column:
+    """Whether a value is a short phrase: 60 characters, eight words, one period and one comma at most."""
+    v = F.trim(value)
+    count = lambda mark: F.length(v) - F.length(F.translate(v, mark, ""))
+    return (v != "") & (F.length(v) <= 60) & (F.size(F.split(v, r"\s+")) <= 8) & (count(".") < 2) & (count(",") < 2)
+
+
+def negative_preference(key: Column, value: Column) -> Column:
+    met = F.lower(F.trim(value)).isin(NEGATIVE_VALUES)
+    for p in NEGATIVE_KEYS:
+        met = met | F.lower(key).startswith(p)
+    return met
+
+
 def preference_edges(view: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges that preferences stand for: entity to value, value to its category, and value to its polarity."""
-    clean = (F.length("value") <= 60) & (F.size(F.split("value", " ")) <= 8)
-    negative = F.lower("value").rlike("^(?:no |not |never |anti-)|avoid|hate")
-    rows = view.where(F.col("key").isin(keys) & F.col("value").isNotNull() & clean).select("entity", "key", "value", F.when(negative, "dislikes").otherwise("prefers").alias("verb")).distinct()
+    """Edges that preferences stand for: entity to value by polarity, and value to its category; negative ones only of short
+    phrases, as a long sentence is no thing to dislike."""
+    negative = negative_preference(F.col("key"), F.col("value"))
+    rows = view.where(F.col("key").isin(keys) & F.col("value").isNotNull() & (~negative | clean_value(F.col("value"))))
+    rows = rows.select("entity", "key", "value", F.when(negative, "dislikes").otherwise("prefers").alias("verb")).distinct()
     edge = lambda a, r, b: F.struct(a.alias("from_id"), r.alias("relation"), b.alias("to_id"))
     e = F.array(edge(F.col("entity"), F.col("verb"), F.lower("value")), edge(F.lower("value"), F.lit("category"), F.col("key")))
     return rows.select(F.inline(e)).distinct()

@@ -107,7 +107,7 @@ SQL: dict[str, str] = {
     "pref_conflicts": f"WITH {FV} SELECT entity, key, count(DISTINCT value) AS n_values, max_by(value, (coalesce(vf, ''), recorded, -line_no, value)) AS current FROM f WHERE value IS NOT NULL GROUP BY entity, key HAVING n_values > 1",
     "pref_context": f"WITH {FV}, n AS ({_NOW}), w AS (SELECT *, (CASE WHEN key IN ('diet', 'tooling') THEN 1.0 ELSE 0.3 END)::DOUBLE AS weight FROM n WHERE value IS NOT NULL) SELECT *, row_number() OVER (PARTITION BY entity ORDER BY weight DESC, key) AS pos FROM w QUALIFY pos <= 3",
     "fact_chain": f"WITH {FV}, r AS (SELECT entity, key, value, vf, line_no, date_diff('day', try_cast(substr(vf, 1, 10) AS DATE), DATE '2023-12-31') AS age FROM f WHERE vf BETWEEN '2023-01-01' AND '2023-12-31') SELECT entity, key, value, vf, line_no, 0.3::DOUBLE + 0.7::DOUBLE * (1 - age / greatest(1, max(age) OVER ())::DOUBLE) AS score FROM r WHERE age IS NOT NULL",
-    "pref_edges": f"WITH {FV}, r AS (SELECT DISTINCT entity, key, value, CASE WHEN regexp_matches(lower(value), '^(?:no |not |never |anti-)|avoid|hate') THEN 'dislikes' ELSE 'prefers' END AS verb FROM f WHERE key IN ('diet', 'tooling') AND value IS NOT NULL AND length(value) <= 60 AND len(string_split(value, ' ')) <= 8) SELECT entity AS from_id, verb AS relation, lower(value) AS to_id FROM r UNION SELECT lower(value), 'category', key FROM r",
+    "pref_edges": f"WITH {FV}, r AS (SELECT DISTINCT entity, key, value, CASE WHEN lower(trim(value)) IN ({', '.join(repr(x) for x in facts.NEGATIVE_VALUES)}) OR {' OR '.join(f'starts_with(lower(key), {chr(39)}{p}{chr(39)})' for p in facts.NEGATIVE_KEYS)} THEN 'dislikes' ELSE 'prefers' END AS verb FROM f WHERE key IN ('diet', 'tooling') AND value IS NOT NULL), k AS (SELECT * FROM r WHERE verb = 'prefers' OR (trim(value) <> '' AND length(trim(value)) <= 60 AND len(regexp_split_to_array(trim(value), '\\s+')) <= 8 AND length(value) - length(replace(value, '.', '')) < 2 AND length(value) - length(replace(value, ',', '')) < 2)) SELECT entity AS from_id, verb AS relation, lower(value) AS to_id FROM k UNION SELECT lower(value), 'category', key FROM k",
     "neighbors_2hop": f"WITH {EV}, a AS (SELECT DISTINCT from_id, relation, to_id, 1 AS depth FROM e WHERE from_id = '{SEED}'), b AS (SELECT DISTINCT e.from_id, e.relation, e.to_id, 2 AS depth FROM e WHERE from_id IN (SELECT to_id FROM a) AND from_id <> '{SEED}') SELECT * FROM a UNION ALL SELECT * FROM b",
     "causal_backward": f"WITH RECURSIVE {EV}, {_BACK}, {_REACH}",
     "causal_forward": f"WITH RECURSIVE {EV}, {_FORE}, {_REACH}",

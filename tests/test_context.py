@@ -1,5 +1,7 @@
 """Strategies, rendering, conflicts, fuzzy ratios and instants against rows worked out by hand or by brute force."""
 
+import re
+from collections import Counter
 from datetime import datetime, timezone
 from difflib import SequenceMatcher
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import text
 from loam.functions.instants import parse_instants
-from loam.operators import context, extract, journal, lexical, ranking, stores
+from loam.operators import context, extract, journal, lexical, ranking, records, stores
 from loam.queries.context import QUERIES
 from loam.queries.retrieval import AS_OF
 
@@ -160,3 +162,41 @@ def test_wall_clock_times_outside_the_tables():
 
     values = ["2150-07-01 12:00:00", "2150-01-01 12:00:00", "2023-07-01 12:00:00"]
     assert parse_instants(values, ["America/New_York"] * 3, [None] * 3).to_pylist() == [us(2150, 7, 1, 16), us(2150, 1, 1, 17), us(2023, 7, 1, 16)]
+
+
+def test_tables_runbooks_and_attachments(spark):
+    note = "| Name | Role | City |\n|---|---|---|\n| Ann Lee | cook | Oslo |\n| x | y |\n- [2024-01-02] asked about the budget\n[[plan.pdf]] ![[map.PNG]] (a/b.mp3)"
+    found = docs(spark, [note, ""])
+    assert [tuple(r) for r in records.table_rows(found).collect()] == [(0, 1, "Ann Lee", "cook | Oslo")]
+    assert [tuple(r) for r in records.list_items(found).collect()] == [(0, 4, "asked about the budget")]
+    assert {tuple(r) for r in records.attachments(found).collect()} == {(0, "plan.pdf", "binary"), (0, "map.PNG", "image"), (0, "a/b.mp3", "audio")}
+    hits = spark.createDataFrame([(0, 1.0), (1, 0.5)], "doc_id long, score double")
+    assert [tuple(r) for r in records.hits_with_attachments(hits, records.attachments(found), "audio").collect()] == [(0, 1.0, 1)]
+    books = spark.createDataFrame([(1, "disk .* full", 0.5), (2, "disk is full", 0.0), (3, "network", 0.9), (4, "(", None), (5, None, None)], "id long, pattern string, confidence double")
+    want = {1: 0.6 + 0.2, 2: 0.6 * SequenceMatcher(None, "disk c is full", "disk is full").ratio(), 3: 0.6 * SequenceMatcher(None, "disk c is full", "network").ratio() + 0.36}
+    got = {r["id"]: r["score"] for r in records.runbook_matches(books, "Disk C is full").collect()}
+    assert got == {k: pytest.approx(v, abs=1e-4) for k, v in want.items()}
+    assert records.runbook_matches(books, " ").collect() == []
+
+
+def test_routes_keys_and_answers(spark):
+    texts = {"We decided": "decision", "a TODO": "task", "the founder": "entity", "": "entity"}
+    df = spark.createDataFrame(list(texts.items()), "t string, w string")
+    assert all(r["x"] == r["w"] for r in df.select(records.route_of(F.col("t")).alias("x"), "w").collect())
+    answers = spark.createDataFrame([("a", "The  Cat!", "the cat"), ("a", "a big cat", "cat"), ("b", "I don't know.", "x"), ("b", None, "")], "category string, predicted string, gold string")
+    got = {r["category"]: (r["n"], r["exact"], r["contains"], r["abstained"]) for r in records.scored_answers(answers).collect()}
+    assert got == {"a": (2, 0.5, 1.0, 0.0), "b": (2, 0.5, 0.0, 0.5), "(all)": (4, 0.5, 0.5, 0.25)}
+    keys = spark.createDataFrame([("f", None, None, None, None, None, None), (None, "E", "k", "v", None, None, None), (None, None, None, None, "r", "T", "s"), (None, None, None, None, None, "T", None)], "file string, entity string, key string, value string, relation string, target string, seed string")
+    assert [r["k"].split("\x1f") for r in keys.select(records.hit_key(*[F.col(c) for c in keys.columns]).alias("k")).collect()] == [["file", "f"], ["fact", "e", "k", "v"], ["graph", "t", "r", "s"], ["entity", "t"]]
+
+
+def test_keywords_of_conversations(spark, small):
+    from loam.operators.reports import STOPS
+
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    got = {r["doc_id"]: r["keywords"] for r in records.document_summaries(lexical.corpus(spark.read.parquet(f"{small}/documents.parquet"))).collect()}
+    for r in rows:
+        t = r["text"] or ""
+        said = " ".join(re.findall(r"\[USER\](.*?)(?=\[(?:USER|ASSISTANT|SYSTEM)\]|$)", t, re.S)) or t
+        n = Counter(w for w in re.findall("[a-z]{3,}", said.lower()) if w not in STOPS)
+        assert got[r["doc_id"]] == ",".join(w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:10])

@@ -2,10 +2,10 @@
 
 import pytest
 
-from loam.queries import context, extract, journal, memory, passes, reports, retrieval, stores, training
+from loam.queries import context, extract, journal, memory, passes, records, reports, retrieval, stores, training
 from tests import edge
 
-QUERIES = {k: f for m in (training, retrieval, memory, reports, passes, stores, journal, extract, context) for k, f in m.QUERIES.items()}
+QUERIES = {k: f for m in (training, retrieval, memory, reports, passes, stores, journal, extract, context, records) for k, f in m.QUERIES.items()}
 CLASHING = ["p1_found", "p2_found", "p5_found", "p6_found", "composite_search", "fact_as_of", "fact_asof_join", "fact_contradictions", "neighbors_2hop", "link_graph", "auto_tier", "compact", "statements", "flush_sections", "three_pass_search", "task_records", "alias_records", "extract_relations", "bullet_facts", "rendered_hits", "fact_settle", "graph_similar_all"]
 
 

@@ -4,10 +4,10 @@ import re
 from collections import Counter
 
 from loam.functions.instants import parse_instants
-from loam.queries import context, extract, journal, memory, passes, reports, retrieval, stores, training
+from loam.queries import context, extract, journal, memory, passes, records, reports, retrieval, stores, training
 from tests import edge, oracle
 
-MODULES = (training, retrieval, memory, reports, passes, stores, journal, extract, context)
+MODULES = (training, retrieval, memory, reports, passes, stores, journal, extract, context, records)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 
