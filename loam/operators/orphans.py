@@ -40,41 +40,42 @@ def parent_state(nodes: DataFrame) -> DataFrame:
     )
 
 
-def bad_references(edges: DataFrame, nodes: DataFrame, agents: DataFrame) -> DataFrame:
-    """``(edge_id, field, reason, period)`` of each reference that is missing, deleted or late.
+def suspect_keys(references: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(key, state, first_us)``: one row per foreign key that is missing, deleted or created after its earliest use.
 
     Distinct foreign keys (with the earliest edge that uses each, combined before the shuffle) are anti-joined
-    against the parents; those that exist are kept only if deleted or created after that earliest edge.  Only
-    these suspect keys are joined back to the edges.  The join's skewed side is split by adaptive execution: its
-    other side has one row per key.  Edges without an instant are never late.  Empty tables give no rows, but an
-    empty ``nodes`` makes every reference missing.
+    against the parents; those that exist are kept only if deleted or created after that earliest edge.
     """
-    references = edge_references(edges, agents)
     keys = references.groupBy("key").agg(F.min("created_us").alias("first_use"))
     parents = parent_state(nodes)
     missing = keys.join(parents, "key", "left_anti").select("key", F.lit("missing").alias("state"), F.lit(None).cast("long").alias("first_us"))
     suspect = keys.join(parents, "key").where(F.col("deleted") | (F.col("first_us") > F.col("first_use")))
     state = F.when(F.col("deleted"), "deleted").otherwise("late")
-    bad = missing.unionByName(suspect.select("key", state.alias("state"), "first_us"))
+    return missing.unionByName(suspect.select("key", state.alias("state"), "first_us"))
+
+
+def bad_references(edges: DataFrame, nodes: DataFrame, agents: DataFrame) -> DataFrame:
+    """``(edge_id, field, reason, period)`` of each reference that is missing, deleted or late.
+
+    Only the suspect keys are joined back to the edges.  The join's skewed side is split by adaptive execution: its
+    other side has one row per key.  Edges without an instant are never late.  Empty tables give no rows, but an
+    empty ``nodes`` makes every reference missing.
+    """
+    references = edge_references(edges, agents)
     return (
-        references.join(bad, "key")
+        references.join(suspect_keys(references, nodes), "key")
         .where((F.col("state") != "late") | (F.col("first_us") > F.col("created_us")))
         .select("edge_id", "field", F.col("state").alias("reason"), month_of(F.col("created_us")).alias("period"))
     )
 
 
 def reference_report(edges: DataFrame, nodes: DataFrame, agents: DataFrame) -> DataFrame:
-    """Per field and period: references and how many are missing, deleted and late."""
-    all_refs = edge_references(edges, agents).select("field", month_of(F.col("created_us")).alias("period"), F.lit(None).cast("string").alias("reason"))
-    found = bad_references(edges, nodes, agents).select("field", "period", "reason")
-    count = lambda r: F.count(F.when(F.col("reason") == r, 1))
-    return (
-        all_refs.unionByName(found)
-        .groupBy("field", "period")
-        .agg(
-            F.count(F.when(F.col("reason").isNull(), 1)).alias("n_references"),
-            count("missing").alias("n_missing"),
-            count("deleted").alias("n_deleted"),
-            count("late").alias("n_late"),
-        )
+    """Per field and period: references and how many are missing, deleted and late; every reference meets the suspect keys
+    once."""
+    references = edge_references(edges, agents).select("field", "key", "created_us")
+    told = references.join(suspect_keys(references, nodes), "key", "left")
+    count = lambda c: F.count(F.when(c, 1))
+    late = (F.col("state") == "late") & (F.col("first_us") > F.col("created_us"))
+    return told.groupBy("field", month_of(F.col("created_us")).alias("period")).agg(
+        F.count(F.lit(1)).alias("n_references"), count(F.col("state") == "missing").alias("n_missing"), count(F.col("state") == "deleted").alias("n_deleted"), count(late).alias("n_late")
     )

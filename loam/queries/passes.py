@@ -65,8 +65,7 @@ QUERIES = {
     "three_pass_search": _three,
     "hybrid_search": _hybrid,
     "time_travel": _travel,
-    "experience_recall": lambda s, d: multipass.recall(_d(s, d).withColumn("content", F.substring("content", 1, 400)), "storage quota review meeting"),
-    "experience_recall_whole": lambda s, d: multipass.recall(_d(s, d), "storage quota review meeting"),
+    "experience_recall": lambda s, d: multipass.recall(_d(s, d), "storage quota review meeting"),
     "prompt_evidence": lambda s, d: multipass.evidence(_d(s, d), "storage quota review", AS_OF),
     "session_blocks": lambda s, d: multipass.session_blocks(multipass.turns(_d(s, d))),
     "related_incidents": lambda s, d: multipass.related(reports.incidents(table(s, d, "events"))),
@@ -96,7 +95,7 @@ SQL: dict[str, str] = {
     ),
     "hybrid_search": f"WITH {DOCS}, {composite_sql(Q, 'c')}, h AS ({top_sql('c', 30)}), q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1), n AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM embeddings, q ORDER BY score DESC, doc_id LIMIT 30), u AS (SELECT doc_id, sum(x * 0.5::DOUBLE) AS rrf_score, count(*) AS n_lists FROM ({_rank('h', 'doc_id')} UNION ALL {_rank('n', 'doc_id')}) GROUP BY doc_id) SELECT *, least(1::DOUBLE, rrf_score * 61) AS confidence FROM u",
     "time_travel": f"WITH {DOCS}, d AS (SELECT path, lower(content) AS t FROM docs WHERE dir <> 'debug'), s AS (SELECT path, CASE WHEN contains(t, 'storage quota') THEN 1.0 ELSE 0.5 * ((contains(t, 'storage')::INT + contains(t, 'quota')::INT) / 2.0) END::DOUBLE AS score FROM d) SELECT * FROM s WHERE score > 0",
-    "experience_recall": f"WITH {DOCS}, w AS (SELECT doc_id, mtime, list_distinct({WORDS.format('substr(content, 1, 400)')}) AS w FROM docs), s AS (SELECT doc_id, mtime, len(list_intersect(w, {_W('storage quota review meeting')})) / len(list_distinct(list_concat(w, {_W('storage quota review meeting')})))::DOUBLE AS score FROM w) SELECT doc_id, score FROM s WHERE score >= 0.01 ORDER BY score DESC, mtime DESC, doc_id LIMIT 20",
+    "experience_recall": f"WITH {DOCS}, w AS (SELECT doc_id, mtime, list_distinct({WORDS.format('content')}) AS w FROM docs), s AS (SELECT doc_id, mtime, len(list_intersect(w, {_W('storage quota review meeting')})) / len(list_distinct(list_concat(w, {_W('storage quota review meeting')})))::DOUBLE AS score FROM w) SELECT doc_id, score FROM s WHERE score >= 0.01 ORDER BY score DESC, mtime DESC, doc_id LIMIT 20",
     "prompt_evidence": f"WITH {DOCS}, w AS (SELECT doc_id, len(list_intersect(list_distinct({WORDS.format('content')}), {_W('storage quota review')})) / 3.0::DOUBLE AS share, greatest(0.1::DOUBLE, 1 - greatest(date_diff('day', mtime::DATE, DATE '{AS_OF}'), 0) / 900.0::DOUBLE) AS fresh FROM docs) SELECT doc_id, share * fresh AS score FROM w WHERE share >= 0.3",
     "session_blocks": f"WITH {DOCS}, p AS (SELECT doc_id, regexp_extract_all(content, '\\[(USER|ASSISTANT|SYSTEM)\\] *([^\\n\\r]*)', 1) AS r, regexp_extract_all(content, '\\[(USER|ASSISTANT|SYSTEM)\\] *([^\\n\\r]*)', 2) AS t FROM docs), u AS (SELECT doc_id, unnest(r) AS role, unnest(t) AS text, generate_subscripts(r, 1) AS pos FROM p), b AS (SELECT *, CASE WHEN role = 'USER' AND regexp_matches(lower(text), '^(?:hi|hello|hey|good morning|can you remind)') AND max((role = 'ASSISTANT')::INT) OVER w = 1 THEN 1 ELSE 0 END AS begins FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)), n AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS no FROM b), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, no ORDER BY pos) AS rn FROM n) SELECT doc_id, no || '.' || ((rn - 1) // 30) AS session, count(*) AS n_turns FROM m GROUP BY ALL",
     "related_incidents": "WITH i AS (SELECT event_id, user_id, ts, CASE WHEN value >= 75 THEN 'critical' WHEN value >= 50 THEN 'high' WHEN value >= 25 THEN 'medium' ELSE 'low' END AS severity FROM events WHERE event_type = 'error'), s AS (SELECT a.event_id AS incident, b.event_id AS other, (CASE WHEN a.severity = b.severity THEN 1.0 ELSE 0.5 END)::DOUBLE - 0.01::DOUBLE * abs(date_diff('day', b.ts, a.ts)) AS score FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_id <> b.event_id WHERE a.event_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY incident ORDER BY score DESC, other) AS pos FROM s QUALIFY pos <= 3",
