@@ -1,7 +1,7 @@
 """Lexical retrieval: BM25, the composite scorer and its query-expanding, gated and time-aware forms.
 
-A query's words are counted per document with array functions, so scoring needs one aggregate of a row (document
-frequencies) and one scan, however many queries are asked together; term tables are never shuffled.  Texts never travel:
+The words of a query are counted in each document, so one scan gives the signals of all queries asked together, a few
+numbers a document; document frequencies and scores come from these, and term tables are never shuffled.  Texts never travel:
 what is ranked are ids and scores, and the texts of the few best documents are read again by their ids.  For a corpus
 that is asked often, ``write_postings`` keeps term frequencies by hash of the term, and a query reads its terms only.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.functions.text import cents, keyword_variants, lines, run_lengths, tokens, tokens_of
+from loam.functions.text import cents, keyword_variants, run_lengths, tokens, tokens_of
 from loam.session import cut
 
 K1, B = 1.5, 0.75
@@ -55,60 +55,63 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def counted(docs: DataFrame, terms: Sequence[str], within: Sequence[str] | None = None) -> DataFrame:
-    """Add ``_low`` and ``_name`` (text and file name in lower case), ``dl`` (tokens of the document) and ``tf0``, ``tf1``
-    ... (occurrences of each term); with ``within`` only documents that have the letters of one of these in text or name.
+def lowered(docs: DataFrame) -> DataFrame:
+    """Add ``_low`` and ``_name``: text and file name in lower case."""
+    return once(docs, _low=F.lower(F.coalesce("content", F.lit(""))), _name=F.lower(F.translate("stem", "-", " ")))
+
+
+def quoted(text: str) -> str:
+    """A string literal of Spark SQL.  Expressions of many terms are built as text: one call to the JVM for each, not one for
+    each operator."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _word(term: str) -> str:
+    return quoted(rf"(?<![\p{{L}}\p{{N}}_])\Q{term}\E(?![\p{{L}}\p{{N}}_])")
+
+
+def counts_of(terms: Sequence[str]) -> dict[str, Column]:
+    """``dl`` (tokens of the document) and ``tf0``, ``tf1`` ... (occurrences of each term) of rows with ``_low``.
 
     Tokens are the runs of two or more word characters, so they are counted by a pattern and never materialised; a
     term's occurrences are only counted in documents that contain its letters.
     """
-    rows = once(docs, _low=F.lower(F.coalesce("content", F.lit(""))), _name=F.lower(F.translate("stem", "-", " ")))
-    if within is not None:
-        met = F.lit(False)
-        for t in dict.fromkeys(within):
-            met = met | F.col("_low").contains(t) | F.col("_name").contains(t)
-        rows = rows.where(met)
-    of = lambda t: F.when(F.col("_low").contains(t), F.regexp_count("_low", F.lit(rf"(?<![\p{{L}}\p{{N}}_])\Q{t}\E(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
-    return once(rows, dl=F.regexp_count("_low", F.lit(r"[\p{L}\p{N}_]{2,}")), **{f"tf{i}": of(t) for i, t in enumerate(terms)})
+    of = lambda t: F.expr(f"CASE WHEN contains(_low, {quoted(t)}) THEN regexp_count(_low, {_word(t)}) ELSE 0 END")
+    return {"dl": F.regexp_count("_low", F.lit(r"[\p{L}\p{N}_]{2,}")), **{f"tf{i}": of(t) for i, t in enumerate(terms)}}
 
 
-def frequencies(rows: DataFrame, terms: list[str]) -> dict:
+def frequencies(rows: DataFrame, terms: Sequence[str]) -> dict:
     """``n, avgdl, df`` of the corpus: one row, whatever the corpus."""
-    df = [F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]
-    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"), *df).first()
+    r = rows.selectExpr("count(1) AS n", "sum(dl) AS dl", *[f"count_if(tf{i} > 0) AS df{i}" for i in range(len(terms))]).first()
     n = r["n"]
     return {"n": n, "avgdl": (r["dl"] or 0) / max(n, 1) or 1.0, "df": [r[f"df{i}"] or 0 for i in range(len(terms))]}
 
 
 def in_name(term: str) -> Column:
     """Whether the file name has the term as a word."""
-    return F.col("_name").rlike(rf"(?<![\p{{L}}\p{{N}}_])\Q{term}\E(?![\p{{L}}\p{{N}}_])")
-
+    return F.expr(f"contains(_name, {quoted(term)}) AND _name RLIKE {_word(term)}")
 
-def bm25(stats: dict, terms: Sequence[str], names: bool = True, only: Sequence[str] | None = None) -> Column:
-    """Okapi BM25 (k1 = 1.5, b = 0.75); with ``names`` a term that is only in the file name counts once.
 
-    ``terms`` are those that were counted; with ``only`` some of them are scored.
-    """
-    total = F.lit(0.0)
+def bm25(stats: dict, terms: Sequence[str], names: bool = True, only: Sequence[str] | None = None) -> str:
+    """SQL of Okapi BM25 (k1 = 1.5, b = 0.75); with ``names`` a term that is only in the file name (``nm0``, ``nm1`` ...) counts
+    once.  ``terms`` are those that were counted; with ``only`` some of them are scored."""
+    parts = ["0D"]
     for i, t in enumerate(terms):
-        if only is not None and t not in only:
-            continue
-        idf = F.log(F.lit((stats["n"] - stats["df"][i] + 0.5) / (stats["df"][i] + 0.5) + 1.0))
-        tf = F.col(f"tf{i}")
-        if names:
-            tf = F.when((tf == 0) & in_name(t), 1).otherwise(tf)
-        tf = tf.cast("double")
-        score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / stats["avgdl"]))
-        total = total + F.when(tf > 0, score).otherwise(0.0)
-    return total
+        if only is None or t in only:
+            idf = math.log((stats["n"] - stats["df"][i] + 0.5) / (stats["df"][i] + 0.5) + 1.0)
+            tf = f"CAST(CASE WHEN tf{i} = 0 AND nm{i} THEN 1 ELSE tf{i} END AS DOUBLE)" if names else f"CAST(tf{i} AS DOUBLE)"
+            parts.append(f"CASE WHEN {tf} > 0 THEN {idf!r}D * {tf} * {K1 + 1!r}D / ({tf} + {K1!r}D * ({1 - B!r}D + {B!r}D * dl / {float(stats['avgdl'])!r}D)) ELSE 0D END")
+    return "(" + " + ".join(parts) + ")"
 
 
 def bm25_topk(docs: DataFrame, query: str, top_k: int = 20) -> DataFrame:
-    """``doc_id, score`` of the best documents by plain BM25; ties by ``doc_id``.  No terms, no rows."""
+    """``doc_id, score`` of the best documents by plain BM25; ties by ``doc_id``.  No terms, no rows.
+
+    Texts are read once: what they count is cut, and both frequencies and scores come from there.
+    """
     terms = list(dict.fromkeys(tokens_of(query)))
-    stats = frequencies(counted(docs, terms), terms)
-    scored = once(counted(docs, terms, [*terms, query.lower()]), score=bm25(stats, terms, names=False)).select("doc_id", "score")
+    rows = cut(once(lowered(docs), **counts_of(terms)).select("doc_id", "dl", *[f"tf{i}" for i in range(len(terms))]))
+    scored = once(rows, score=F.expr(bm25(frequencies(rows, terms), terms, names=False))).select("doc_id", "score")
     return scored.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(top_k)
 
 
@@ -162,10 +165,6 @@ def expand_aliases(query: str, aliases: DataFrame) -> list[str]:
     return list(dict.fromkeys(words + [t for c in extra for t in tokens_of(c)]))
 
 
-def _headed(query: str) -> Column:
-    return F.exists(lines(F.col("_low")), lambda x: x.startswith("#") & x.contains(query))
-
-
 def scores(docs: DataFrame, queries: Sequence[str], as_of: str, fuzzy: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Composite score of every document that matches a query: ``q`` (the query's place), ``doc_id, stem, score`` and the
     columns of ``keep``.
@@ -173,43 +172,45 @@ def scores(docs: DataFrame, queries: Sequence[str], as_of: str, fuzzy: bool = Fa
     Signals: the whole query in the body (1.0) or the file name (0.8); overlap weighted by unlogged idf; BM25
     scaled to 1; query bigrams, a heading that holds the query, recent dates, and with ``fuzzy`` the best
     similarity of a line or the name.  Of documents with one stem the best counts (ties: smallest ``doc_id``).
-    All queries are scored in one scan, behind one aggregate of a row; ids and scores are combined before the shuffle.
+    Texts are read once for all queries: their signals, a few numbers a document, are cut, and frequencies and scores come
+    from there; ids and scores are combined before the shuffle.
     """
     asked = [q.strip().lower() for q in queries]
     own = [list(dict.fromkeys(tokens_of(q))) for q in queries]
     terms = list(dict.fromkeys(t for x in own for t in x))
-    stats = frequencies(counted(docs, terms), terms)
-    n = stats["n"]
-    df_of = dict(zip(terms, stats["df"], strict=True))
-    rows = counted(docs, terms, None if fuzzy else [*terms, *asked])
+    met = " OR ".join(f"contains({c}, {quoted(t)})" for t in dict.fromkeys([*terms, *asked]) for c in ("_low", "_name"))
     dates = F.regexp_extract_all("content", F.lit(r"\*\*(\d{4}-\d{2}-\d{2})\*\*"), F.lit(1))
-    age = F.datediff(F.lit(as_of).cast("date"), F.array_max(dates).try_cast("date"))
-    rows = rows.withColumn("_recency", F.when(age < 7, 0.05).when(age < 30, 0.02).otherwise(0.0))
+    age = F.datediff(F.lit(as_of).cast("date"), F.array_max(F.when(F.expr(met), dates)).try_cast("date"))
+    signals = counts_of(terms) | {f"nm{i}": in_name(t) for i, t in enumerate(terms)} | {"recency": F.when(age < 7, 0.05).when(age < 30, 0.02).otherwise(0.0)}
+    for k, q in enumerate(asked):
+        said = tokens_of(q)
+        pairs = [f"{a} {b}" for a, b in zip(said, said[1:], strict=False)]
+        signals[f"exact{k}"] = F.expr(f"CASE WHEN contains(_low, {quoted(q)}) THEN 1D WHEN contains(_name, {quoted(q)}) THEN 0.8D ELSE 0D END")
+        signals[f"phrase{k}"] = F.expr("(" + " + ".join(["0D", *[f"CAST(contains(_low, {quoted(p)}) AS DOUBLE)" for p in pairs]]) + f") * {0.15 / max(len(pairs), 1)!r}D")
+        headed = f"exists(split(_low, '\\n'), x -> startswith(x, '#') AND contains(x, {quoted(q)}))"
+        signals[f"heading{k}"] = F.expr(f"CASE WHEN contains(_low, {quoted(q)}) AND {headed} THEN 0.1D ELSE 0D END") if said else F.lit(0.0)
     if fuzzy:
-        rows = rows.withColumn("_like", similarity(asked)(F.col("content"), F.col("_name")))
+        signals["like"] = similarity(asked)(F.col("content"), F.col("_name"))
+    rows = cut(once(lowered(docs), **signals).select("doc_id", "stem", *keep, *signals))
+    stats = frequencies(rows, terms)
+    n = stats["n"]
+    df_of = dict(zip(terms, stats["df"], strict=True))
     told = []
-    for k, (q, words) in enumerate(zip(asked, own, strict=True)):
-        exact = F.when(F.col("_low").contains(q), 1.0).when(F.col("_name").contains(q), 0.8).otherwise(0.0)
+    for k, words in enumerate(own):
         weight = {t: max(0.1, (n - (df_of[t] or 1) + 0.5) / ((df_of[t] or 1) + 0.5)) for t in words}
-        has = {t: (F.col(f"tf{terms.index(t)}") > 0) | in_name(t) for t in words}
-        met = sum((F.when(has[t], F.lit(weight[t])).otherwise(0.0) for t in words), F.lit(0.0))
-        token = met / F.lit(sum(weight.values()) or 1.0)
+        token = " + ".join(["0D", *[f"CASE WHEN tf{terms.index(t)} > 0 OR nm{terms.index(t)} THEN {weight[t]!r}D ELSE 0D END" for t in words]])
         most = sum(math.log((n - df_of[t] + 0.5) / (df_of[t] + 0.5) + 1.0) for t in words) * (K1 + 1)
-        scaled = F.least(F.lit(1.0), bm25(stats, terms, only=words) / F.lit(most or 1.0))
-        said = tokens_of(q)
-        pairs = [f"{a} {b}" for a, b in zip(said, said[1:], strict=False)]
-        phrase = sum((F.col("_low").contains(p).cast("double") for p in pairs), F.lit(0.0)) * F.lit(0.15 / max(len(pairs), 1))
-        heading = F.when(_headed(q), 0.1).otherwise(0.0) if said else F.lit(0.0)
-        like = F.get(F.col("_like"), F.lit(k)) if fuzzy else F.lit(0.0)
-        signals = {"exact": exact, "token": token, "bm25": scaled, "fuzzy": like, "bonus": phrase + heading + F.col("_recency")}
-        told.append(F.struct(F.lit(k).alias("q"), *[v.alias(c) for c, v in signals.items()]))
+        told.append(
+            f"named_struct('q', {k}, 'exact', exact{k}, 'token', ({token}) / {sum(weight.values()) or 1.0!r}D, 'bm25', least(1D, {bm25(stats, terms, only=words)} / {most or 1.0!r}D),"
+            f" 'fuzzy', {f'like[{k}]' if fuzzy else '0D'}, 'bonus', phrase{k} + heading{k} + recency)"
+        )
     x = F.col
     base = F.when(x("exact") > 0, F.greatest("exact", F.least(F.lit(1.0), 0.55 * x("exact") + 0.25 * x("token") + 0.20 * x("bm25")))).otherwise(
         F.least(F.lit(1.0), 0.45 * x("token") + 0.30 * x("bm25") + 0.25 * x("fuzzy"))
     )
     hit = (x("exact") > 0) | (x("token") > 0) | (x("bm25") > 0) | (x("fuzzy") >= 0.3)
     # the array is a generator's input, so each signal is computed once and the test of the hit stays behind it
-    hits = rows.select("doc_id", "stem", *keep, F.inline(F.array(*told))).where(hit)
+    hits = rows.select("doc_id", "stem", *keep, F.inline(F.expr(f"array({', '.join(told)})"))).where(hit)
     hits = hits.select("q", "doc_id", "stem", *keep, cents(F.least(F.lit(1.0), base + x("bonus"))).alias("score"))
     best = hits.groupBy("q", "stem").agg(F.max(F.struct("score", (-x("doc_id")).alias("back"), *keep)).alias("b"))
     return best.select("q", (-x("b.back")).alias("doc_id"), "stem", *[f"b.{c}" for c in keep], "b.score")

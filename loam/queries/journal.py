@@ -78,7 +78,7 @@ QUERIES = {
     "decay_candidates": lambda s, d: journal.decay_candidates(_weights(s, d), _uses(s, d), 0.1, 60),
     "decay_dead": lambda s, d: _weights(s, d).where("dead").select("id"),
     "search_debug": lambda s, d: reports.debug_search(lexical.corpus(spread(table(s, d, "documents"))), "review"),
-    "rejected_hypotheses": lambda s, d: reports.rejected(lexical.corpus(spread(table(s, d, "documents"))), "review"),
+    "rejected_hypotheses": lambda s, d: reports.rejected(lexical.corpus(spread(table(s, d, "documents"))), "the"),
 }
 
 _SEV = "CASE WHEN value >= 75 THEN 'critical' WHEN value >= 50 THEN 'high' WHEN value >= 25 THEN 'medium' ELSE 'low' END"
@@ -118,5 +118,5 @@ SQL: dict[str, str] = {
     "decay_candidates": f"WITH {_W} SELECT id, weight, n_uses FROM ww WHERE NOT dead AND weight > 0.1 AND n_uses < 60",
     "decay_dead": f"WITH {_W} SELECT id FROM ww WHERE dead",
     "search_debug": "SELECT doc_id, source FROM documents WHERE source = 'debug' AND contains(lower(coalesce(text, '')), 'review')",
-    "rejected_hypotheses": "WITH d AS (SELECT doc_id, coalesce(text, '') AS content FROM documents), h AS (SELECT doc_id, regexp_extract_all(content, '### H(\\d+): ([^\\n\\r]*)\\r?\\n(?:status: ([a-z]+))?', 1) AS a, regexp_extract_all(content, '### H(\\d+): ([^\\n\\r]*)\\r?\\n(?:status: ([a-z]+))?', 2) AS b, regexp_extract_all(content, '### H(\\d+): ([^\\n\\r]*)\\r?\\n(?:status: ([a-z]+))?', 3) AS c FROM d), y AS (SELECT doc_id, unnest(a)::INT AS no, unnest(c) AS status, unnest(b) AS hypothesis FROM h) SELECT doc_id, no, hypothesis FROM y WHERE status = 'rejected' AND contains(lower(hypothesis), 'review')",
+    "rejected_hypotheses": "WITH d AS (SELECT doc_id, coalesce(text, '') AS content FROM documents), h AS (SELECT doc_id, regexp_extract_all(content, '### H(\\d+): ([^\\n\\r]*)\\r?\\n(?:status: ([a-z]+))?', 1) AS a, regexp_extract_all(content, '### H(\\d+): ([^\\n\\r]*)\\r?\\n(?:status: ([a-z]+))?', 2) AS b, regexp_extract_all(content, '### H(\\d+): ([^\\n\\r]*)\\r?\\n(?:status: ([a-z]+))?', 3) AS c FROM d), y AS (SELECT doc_id, unnest(a)::INT AS no, unnest(c) AS status, unnest(b) AS hypothesis FROM h) SELECT doc_id, no, hypothesis FROM y WHERE status = 'rejected' AND contains(lower(hypothesis), 'the')",
 }

@@ -200,3 +200,12 @@ def test_keywords_of_conversations(spark, small):
         said = " ".join(re.findall(r"\[USER\](.*?)(?=\[(?:USER|ASSISTANT|SYSTEM)\]|$)", t, re.S)) or t
         n = Counter(w for w in re.findall("[a-z]{3,}", said.lower()) if w not in STOPS)
         assert got[r["doc_id"]] == ",".join(w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:10])
+
+
+@pytest.mark.parametrize("query", ["it's a \\ test's \\d {x} %s", "naïve 'quoted'", "\"double\" \\Q..\\E", "", "  "])
+def test_odd_queries(spark, query):
+    found = docs(spark, [f"# {query}\nsome text with {query} in it", "nothing of the kind", ""])
+    hits = [r["doc_id"] for r in lexical.search(found, query, AS_OF).where("score >= 1").collect()]
+    assert hits == [0] if query.strip() else set(hits) <= {0, 1, 2}
+    assert {r["doc_id"] for r in lexical.bm25_topk(found, query).collect()} <= {0}
+    assert lexical.expanded(found, query, AS_OF).collect() is not None
