@@ -209,3 +209,14 @@ def test_odd_queries(spark, query):
     assert hits == [0] if query.strip() else set(hits) <= {0, 1, 2}
     assert {r["doc_id"] for r in lexical.bm25_topk(found, query).collect()} <= {0}
     assert lexical.expanded(found, query, AS_OF).collect() is not None
+
+
+def test_goal_lifts_by_hand(spark):
+    texts = ["alpha beta\ngamma", "alpha\nWhen: beta alpha | x", "tier: core\nzzz", "Confidence: verified and Confidence: hypothesis qq"]
+    hits = spark.createDataFrame([(i, 0.1, t) for i, t in enumerate(texts)], "doc_id long, score double, content string")
+    ratio = lambda t: max(SequenceMatcher(None, "alpha beta", x.strip()).ratio() for x in t.lower().split("\n"))
+    fit = [0.3, 0.2 * 1.0, 0.0, 0.0]  # the whole goal, or a fifth of the share of its words
+    other = [0.0, 0.03, 0.03, 0.05 * (1 + 0.4) / 2]  # conditions, core notes, trust
+    kind = [0.05 * 0.5, 0.05 * 0.5, 0.05 * 0.9, 0.05 * 0.5]  # "core" is a word of identity
+    got = {r["doc_id"]: r["score"] for r in stores.goal_rerank(hits, "alpha beta").collect()}
+    assert got == {i: pytest.approx(0.1 + fit[i] + 0.15 * ratio(t) + other[i] + kind[i]) for i, t in enumerate(texts)}
