@@ -220,3 +220,25 @@ def test_goal_lifts_by_hand(spark):
     kind = [0.05 * 0.5, 0.05 * 0.5, 0.05 * 0.9, 0.05 * 0.5]  # "core" is a word of identity
     got = {r["doc_id"]: r["score"] for r in stores.goal_rerank(hits, "alpha beta").collect()}
     assert got == {i: pytest.approx(0.1 + fit[i] + 0.15 * ratio(t) + other[i] + kind[i]) for i, t in enumerate(texts)}
+
+
+def test_counting_sweep_against_its_searches(spark, small):
+    from loam.operators import routing
+
+    question = "how many storage quota reviews"
+    found = lexical.corpus(spark.read.parquet(f"{small}/documents.parquet"))
+    edges = spark.read.parquet(f"{small}/edges.parquet").select("from_id", "to_id")
+    words = [t for t in dict.fromkeys(text.tokens_of(question)) if len(t) > 3]
+    want = {}
+    for name, queries in (("query", [question]), ("variants", text.keyword_variants(question)), ("words", words)):
+        for q in queries:
+            for r in lexical.search(found, q, AS_OF, 30).collect():
+                best, passes = want.setdefault(r["doc_id"], [0.0, set()])
+                want[r["doc_id"]] = [max(best, r["score"]), passes | {name}]
+    near = {(e["to_id"] or "").lower() for e in edges.collect() if e["from_id"] and any(t in e["from_id"].lower() for t in text.tokens_of(question))}
+    for r in found.where("entity is not null").select("doc_id", "entity").collect():
+        if r["entity"].lower() in near:
+            best, passes = want.setdefault(r["doc_id"], [0.0, set()])
+            want[r["doc_id"]] = [max(best, 0.3), passes | {"neighbours"}]
+    got = {r["doc_id"]: (r["score"], r["passes"]) for r in routing.counting(found, edges, question, AS_OF).collect()}
+    assert got == {k: (pytest.approx(b + min(0.08, 0.02 * (len(p) - 1))), ",".join(sorted(p))) for k, (b, p) in want.items()} and len(got) > 10
