@@ -237,7 +237,7 @@ def _line_groups(distinct: DataFrame, often: Broadcast, threshold: float) -> Dat
 
     rows = distinct.select("no", "line").mapInArrow(run, "no long, line string, rest long")
     least = rows.groupBy("rest").agg(F.min(F.struct("line", "no")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("rest", "m")
-    tied = rows.join(least, "rest", "left")
+    tied = rows.join(least.hint("merge"), "rest", "left")
     return tied.select("no", "line", F.when(F.col("m").isNotNull() & _alike(threshold)(F.coalesce("m.line", "line"), "line"), F.col("m.no")).otherwise(F.col("no")).alias("rep"))
 
 
@@ -294,20 +294,22 @@ def similar_lines(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Two lines are linked if difflib's ratio of their words is ``threshold`` or more; classes are connected lines.
     Candidates are complete (``_line_keys``) and verified; lines that ``_line_groups`` ties are not paired again.
+    Every join is a merge: the size of lines is estimated from the compressed documents, far too low to broadcast by.
     """
     rows = bullets(docs)
     distinct = cut(rows.select("line").distinct().withColumn("no", F.monotonically_increasing_id()))
     often = distinct.sparkSession.sparkContext.broadcast(_often(distinct))
     tied = cut(_line_groups(distinct, often, threshold))
     keys = _line_keys(tied, often, threshold)
-    met = keys.where("side >= 0").alias("a").join(keys.where("side <= 0").alias("b"), F.col("a.key") == F.col("b.key")).where("a.rep != b.rep and (a.side > 0 or a.no < b.no) and bit_count(a.bits ^ b.bits) <= a.gap")
+    met = keys.where("side >= 0").alias("a").join(keys.where("side <= 0").alias("b").hint("merge"), F.col("a.key") == F.col("b.key")).where("a.rep != b.rep and (a.side > 0 or a.no < b.no) and bit_count(a.bits ^ b.bits) <= a.gap")
     pairs = met.select(F.least("a.no", "b.no").alias("u"), F.greatest("a.no", "b.no").alias("v")).distinct()
-    pairs = pairs.join(distinct.select(F.col("no").alias("u"), F.col("line").alias("x")), "u").join(distinct.select(F.col("no").alias("v"), F.col("line").alias("y")), "v")
+    text = lambda no, line: distinct.select(F.col("no").alias(no), F.col("line").alias(line)).hint("merge")
+    pairs = pairs.join(text("u", "x"), "u").join(text("v", "y"), "v")
     links = pairs.where(_alike(threshold)("x", "y")).select("u", "v").unionByName(tied.where("no != rep").select(F.col("no").alias("u"), F.col("rep").alias("v")))
     found = components(cut(links))
-    grouped = cut(distinct.join(found.withColumnRenamed("node", "no"), "no", "left").select("line", F.coalesce("component", "no").alias("class")))
+    grouped = cut(distinct.join(found.withColumnRenamed("node", "no").hint("merge"), "no", "left").select("line", F.coalesce("component", "no").alias("class")))
     least = grouped.groupBy("class").agg(F.min("line").alias("class_line"))
-    return rows.join(grouped.join(least, "class").select("line", "class_line"), "line").select("doc_id", "line_no", "class_line")
+    return rows.join(grouped.join(least.hint("merge"), "class").select("line", "class_line").hint("merge"), "line").select("doc_id", "line_no", "class_line")
 
 
 # --- events ---------------------------------------------------------------------------------------------------

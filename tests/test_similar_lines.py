@@ -47,3 +47,25 @@ def test_classes_equal_all_pairs(spark):
     got = classes(spark, lines)
     assert got == {(i, 0): top(x) for i, x in enumerate(lines)}
     assert 60 < len(set(got.values())) < len(set(lines))
+
+
+def test_no_lines_are_broadcast(spark, tmp_path, monkeypatch):
+    """Files of few bytes hold many lines; at Spark's own threshold the driver was to hold all of them."""
+    from loam.operators import reports
+
+    base = "- the team moved the old budget review to the next week"
+    texts = [base, base.replace("old", "new"), base.replace("review", "reveiw"), "- alone among the lines"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").write.parquet(str(tmp_path / "docs"))
+    plans, cut = [], reports.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(reports, "cut", lambda df: (plan(df), cut(df))[1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        got = similar_lines(spark.read.parquet(str(tmp_path / "docs")))
+        plan(got)
+        assert len(plans) >= 5 and sum("SortMergeJoin" in p for p in plans) >= 4
+        assert not [p for p in plans if "Broadcast" in p]
+        assert sorted((r["doc_id"], r["class_line"]) for r in got.collect()) == [(i, min(texts[:3])) for i in range(3)] + [(3, texts[3])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
